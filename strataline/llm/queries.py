@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataline.llm import cooccurrence, doc_pairs
+from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes
 from strataline.session import table
 
 
@@ -32,7 +32,28 @@ def p2_lift(spark, d):
     return t.select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n", F.round("lift", 6).alias("lift"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift)}
+def p8_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_near(spark, d):
+    """Exact and proximity matches (up to two other words between two words of an item)."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), slop=2)
+
+
+def p10_found(spark, d):
+    return lookalikes.same_look(table(spark, d, "documents"))
+
+
+def p10_spellings(spark, d):
+    """Canonical spelling of every token that is not plain ASCII."""
+    return lookalikes.spellings(table(spark, d, "documents").select("text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p8_found, p8_near, p10_found, p10_spellings)
+}
 
 _TOGETHER = """
 WITH f AS (SELECT DISTINCT split_part(file_path, '/', 1) AS p, commit_hash, file_path FROM file_changes
