@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes
+from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing
 from strataline.session import table
 
 
@@ -41,6 +41,17 @@ def p8_near(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), slop=2)
 
 
+def p9_mix(spark, d):
+    """How often each document is used in the mix."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark, d):
+    """Shares reached by the mix, beside their targets."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares_reached(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
 def p10_found(spark, d):
     return lookalikes.same_look(table(spark, d, "documents"))
 
@@ -52,7 +63,7 @@ def p10_spellings(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p8_found, p8_near, p10_found, p10_spellings)
+    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
 }
 
 _TOGETHER = """
