@@ -16,6 +16,8 @@ from strataline.session import Stored, partitions
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Residuals that one node of the reduction tree combines.
 FAN_IN = 256
+#: Documents that one leaf of the tree rounds.
+NODE_ROWS = 20_000
 _EPS = 1e-12
 
 
@@ -139,9 +141,9 @@ def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def plan_shares(totals: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, available, wanted): tokens to draw from each source.
+    """(source, target_share, max_repeats, available, documents, wanted): tokens to draw from each source.
 
-    ``totals`` has (source, available). Without ``total_tokens`` the mix is as large as it
+    ``totals`` has (source, available, documents). Without ``total_tokens`` the mix is as large as it
     can be with every source at its share: the least of max_repeats x available /
     target_share. A larger ``total_tokens`` is cut to that. A targeted source without
     tokens has no share to give: the other shares keep their proportions. Shares are
@@ -155,7 +157,7 @@ def plan_shares(totals: DataFrame, targets: DataFrame, total_tokens: int | None
     x = x.crossJoin(F.broadcast(mass)).withColumn("share", F.col("target_share") / F.col("sum_share"))  # one row beside the few sources
     most = x.agg(F.min(F.col("max_repeats") * F.col("available") / F.col("share")).alias("most"))
     size = F.col("most") if total_tokens is None else F.least(F.col("most"), F.lit(float(total_tokens)))
-    return x.crossJoin(F.broadcast(most)).select("source", "target_share", "max_repeats", "available", (F.col("share") * size).alias("wanted"))
+    return x.crossJoin(F.broadcast(most)).select("source", "target_share", "max_repeats", "available", "documents", (F.col("share") * size).alias("wanted"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, path: str | None = None) -> DataFrame:
@@ -174,21 +176,23 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     """
     counts = Stored(token_counts(docs, path).withColumn("uid", F.monotonically_increasing_id()), "tokens")
     c = counts.read().where((F.col("tokens") > 0) & F.col("source").isNotNull())
-    totals = c.groupBy("source").agg(F.sum("tokens").alias("available"))
+    totals = c.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("documents"))
     shares = Stored(plan_shares(totals, targets, total_tokens), "shares")
     # one row per targeted source, however many documents there are
-    wanted = shares.read().select("source", F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double")).alias("x"))
+    wanted = shares.read().select(
+        "source", F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double")).alias("x"), F.ceil(F.col("documents") / NODE_ROWS).alias("nodes")
+    )
+    width = shares.read().agg(F.max(F.ceil(F.col("documents") / NODE_ROWS))).first()[0] or 1
     d = c.join(F.broadcast(wanted), "source").withColumn("base", F.floor(F.col("x") + F.lit(1e-9)))
     d = d.withColumn("p", F.greatest(F.col("x") - F.col("base"), F.lit(0.0)))
     coin = (F.pmod(F.xxhash64("uid", "tokens", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("coin")
     # neighbours in size are paired, so little mass moves; large ones first, so that a small one is left over
     parts = partitions(docs.sparkSession)
     cols = ["node", "source", "uid", "tokens", "p", "coin"]
-    slot = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(4 * parts))
+    slot = F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("nodes"))
     level = d.where(F.col("p") > 0).select(F.concat_ws("|", "source", slot.cast("string")).alias("node"), "source", "uid", "tokens", "p", coin)
     schema = "node string, source string, uid long, tokens long, p double, coin double, extra long"
     settled = None
-    width = 4 * parts
     while True:
         out = Stored(level.repartition(parts, "node").sortWithinPartitions("node", F.desc("tokens"), "uid").select(*cols).mapInArrow(_round, schema), "rounded")
         rows = out.read()
