@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +34,30 @@ def local_session(app: str = "strataline", cpus: str = "8", partitions: int = 8)
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    box = os.path.join(tempfile.mkdtemp(prefix="strataline-code-"), "strataline.zip")
+    with zipfile.ZipFile(box, "w") as z:
+        for root, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.join("strataline", os.path.relpath(full, here)))
+    sc.addPyFile(box)
+    atexit.register(shutil.rmtree, os.path.dirname(box), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory (a file or a directory of files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
