@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing
+from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing, names
 from strataline.session import table
 
 
@@ -32,6 +32,17 @@ def p2_lift(spark, d):
     return t.select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n", F.round("lift", 6).alias("lift"))
 
 
+def p4_found(spark, d):
+    return names.same_entity(table(spark, d, "commits"))
+
+
+def p4_entities(spark, d):
+    """Every identity with its entity and the rarity of the form that joined it."""
+    e = names.entities(table(spark, d, "commits"))
+    least = e.groupBy("entity").agg(F.min("identity").alias("entity_name"))
+    return e.join(least, "entity").select("identity", "entity_name", "score")
+
+
 def p8_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -63,7 +74,7 @@ def p10_spellings(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
+    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p4_found, p4_entities, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
 }
 
 _TOGETHER = """
