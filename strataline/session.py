@@ -86,6 +86,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = ()):
         spark = df.sparkSession
+        ship(spark)
         self.path = f"{shared_dir(spark)}/strataline/{label}-{uuid.uuid4().hex}"
         w = df.write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(self.path)
