@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing, names
+from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing, names, provenance
 from strataline.session import table
 
 
@@ -32,6 +32,15 @@ def p2_lift(spark, d):
     return t.select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n", F.round("lift", 6).alias("lift"))
 
 
+def p3_found(spark, d):
+    return provenance.not_by_hand(table(spark, d, "files"), table(spark, d, "documents"))
+
+
+def p3_origins(spark, d):
+    """Kind and grammar figures of every path."""
+    return provenance.origins(table(spark, d, "files"), table(spark, d, "documents"))
+
+
 def p4_found(spark, d):
     return names.same_entity(table(spark, d, "commits"))
 
@@ -74,7 +83,7 @@ def p10_spellings(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p4_found, p4_entities, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
+    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p3_found, p3_origins, p4_found, p4_entities, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
 }
 
 _TOGETHER = """
