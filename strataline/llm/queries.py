@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing, names, provenance
+from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing, names, neighbours, provenance
 from strataline.session import table
 
 
@@ -52,6 +52,11 @@ def p4_entities(spark, d):
     return e.join(least, "entity").select("identity", "entity_name", "score")
 
 
+def p5_found(spark, d):
+    pairs = neighbours.similar_symbols(table(spark, d, "embedding_meta"), table(spark, d, "symbol_embeddings"))
+    return pairs.select("stable_id_a", "stable_id_b")
+
+
 def p8_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -83,7 +88,7 @@ def p10_spellings(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p3_found, p3_origins, p4_found, p4_entities, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
+    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p3_found, p3_origins, p4_found, p4_entities, p5_found, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
 }
 
 _TOGETHER = """
