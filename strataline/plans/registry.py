@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strataline.plans import data_queries
+from strataline.plans import data_queries, git, risk, structure, symbols
 
-MODULES = (data_queries,)
-FLAGSHIP = "p7_found"
+MODULES = (data_queries, git, risk, symbols, structure)
+FLAGSHIP = "risk_hotspots_top"
 
 
 def queries() -> dict:
