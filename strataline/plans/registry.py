@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataline.plans import data_queries, git, risk, structure, symbols
+from strataline.plans import data_queries, git, risk, search, structure, symbols
 
-MODULES = (data_queries, git, risk, symbols, structure)
+MODULES = (data_queries, git, risk, symbols, structure, search)
 FLAGSHIP = "risk_hotspots_top"
 
 

@@ -33,9 +33,7 @@ def imported_pairs(t: Tables) -> DataFrame:
     edges = t.imports.select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"))
     seeds = edges.join(tests, edges.src == tests.key, "left_semi").select(F.col("src").alias("key"), F.col("dst").alias("id"))
     files = graph.reach(seeds, edges).select(F.col("key").alias("test_file_id"), F.col("id").alias("file_id"))
-    parent = t.symbols.select(F.col("stable_id").alias("parent_id"), F.col("is_exported").alias("parent_exported"))
-    open_ = t.placed.where(~F.col("is_test")).join(parent, "parent_id", "left").where(F.col("is_exported") | F.coalesce("parent_exported", F.lit(False)))
-    return files.join(open_.select("file_id", F.col("stable_id").alias("source_symbol_stable_id")), "file_id").select("test_file_id", "source_symbol_stable_id").distinct()
+    return files.join(open_symbols(t).select("file_id", F.col("stable_id").alias("source_symbol_stable_id")), "file_id").select("test_file_id", "source_symbol_stable_id").distinct()
 
 
 def called_pairs(t: Tables) -> DataFrame:
@@ -54,18 +52,32 @@ def test_links(t: Tables) -> DataFrame:
     return best.select("test_file_id", "source_symbol_stable_id", F.when(F.col("rank") == 1, "called").otherwise("imported").alias("confidence"))
 
 
-def coverage(links: DataFrame) -> DataFrame:
-    """(stable_id, coverage): the best confidence of each linked symbol."""
-    return links.groupBy(F.col("source_symbol_stable_id").alias("stable_id")).agg(
-        F.when(F.max((F.col("confidence") == "called").cast("int")) == 1, "called").otherwise("imported").alias("coverage")
-    )
+def open_symbols(t: Tables) -> DataFrame:
+    """Symbols outside tests that are exported themselves or by their parent."""
+    parent = t.symbols.select(F.col("stable_id").alias("parent_id"), F.col("is_exported").alias("parent_exported"))
+    return t.placed.where(~F.col("is_test")).join(parent, "parent_id", "left").where(F.col("is_exported") | F.coalesce("parent_exported", F.lit(False)))
+
+
+def coverage(t: Tables) -> DataFrame:
+    """(stable_id, coverage): the best confidence of each linked symbol.
+
+    Which test links a symbol does not matter here, so all test files are one start: the
+    table of links, whose size is tests times files, is never made.
+    """
+    edges = t.imports.select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"))
+    tests = t.files.where("is_test").select(F.col("id").alias("src"))
+    seeds = edges.join(tests, "src", "left_semi").select(F.lit(0).alias("key"), F.col("dst").alias("id"))
+    files = graph.reach(seeds, edges).select(F.col("id").alias("file_id"))
+    imported = open_symbols(t).join(files, "file_id", "left_semi").select("stable_id", F.lit(0).alias("rank"))
+    called = called_pairs(t).select(F.col("source_symbol_stable_id").alias("stable_id"), F.lit(1).alias("rank"))
+    best = imported.unionByName(called).groupBy("stable_id").agg(F.max("rank").alias("rank"))
+    return best.select("stable_id", F.when(F.col("rank") == 1, "called").otherwise("imported").alias("coverage"))
 
 
 def live_roots(t: Tables, called: DataFrame) -> DataFrame:
     """Symbols that are alive by themselves: exported, called by tests, entry points, components."""
     p = t.placed.where(~F.col("is_test"))
-    parent = t.symbols.select(F.col("stable_id").alias("parent_id"), F.col("is_exported").alias("parent_exported"))
-    out = p.join(parent, "parent_id", "left").where(F.col("is_exported") | F.coalesce("parent_exported", F.lit(False))).select("stable_id")
+    out = open_symbols(t).select("stable_id")
     top = p.where(F.col("kind").isin("function", "class"))
     entry = F.lit(False)
     for like in ENTRY_PATHS:
@@ -114,7 +126,7 @@ def hotspots(t: Tables, limit: int | None = 20, only: str | None = None, exclude
     x = t.placed.where(F.col("is_exported") & ~F.col("is_test") & F.col("kind").isin(*S.CALLABLE_KINDS))
     if exclude is not None:
         x = x.join(exclude, "file_id", "left_anti")
-    x = x.join(fanin, "stable_id").join(coverage(test_links(t)), "stable_id", "left").join(commits_per_file(t), "path", "left")
+    x = x.join(fanin, "stable_id").join(coverage(t), "stable_id", "left").join(commits_per_file(t), "path", "left")
     x = x.withColumn("coverage", F.coalesce("coverage", F.lit("none"))).withColumn("commits", F.coalesce("commits", F.lit(0)))
     weight = F.lit(1.0)
     for k, v in COVERAGE_WEIGHT.items():
@@ -145,12 +157,13 @@ def untested(t: Tables) -> DataFrame:
     return x.join(tested, "stable_id", "left_anti").select("stable_id", "name", "kind", "path", "line_start")
 
 
-def busiest(t: Tables) -> str | None:
-    """The symbol with most callers; ties go to the smaller id. A start for traversals."""
-    ids = t.symbols.select(F.col("stable_id").alias("target_id"))
-    e = t.edges.where(F.col("kind") == "calls").join(ids, "target_id", "left_semi")
-    row = e.groupBy("target_id").agg(F.count_distinct("source_id").alias("n")).orderBy(F.desc("n"), "target_id").first()
-    return row["target_id"] if row else None
+def busiest(t: Tables, callers: bool = True) -> str | None:
+    """The symbol with most callers (or callees); ties go to the smaller id. A start for traversals."""
+    own, other = ("target_id", "source_id") if callers else ("source_id", "target_id")
+    ids = t.symbols.select(F.col("stable_id").alias(own))
+    e = t.edges.where(F.col("kind") == "calls").join(ids, own, "left_semi")
+    row = e.groupBy(own).agg(F.count_distinct(other).alias("n")).orderBy(F.desc("n"), own).first()
+    return row[own] if row else None
 
 
 def _walk(t: Tables, kinds, inbound: bool) -> DataFrame:
@@ -211,10 +224,10 @@ def _q(f, **kw):
     return lambda spark, d: f(Tables(spark, d), **kw)
 
 
-def _from_busiest(f, **kw):
+def _from_busiest(f, callers=True, **kw):
     def run(spark, d):
         t = Tables(spark, d)
-        return f(t, busiest(t) or "", **kw)
+        return f(t, busiest(t, callers) or "", **kw)
 
     return run
 
@@ -240,7 +253,7 @@ QUERIES = {
     "risk_hot_fragile": _q(hot_fragile, limit=None),
     "risk_untested": _q(untested),
     "graph_dependencies_up": _from_busiest(dependencies, direction="upstream"),
-    "graph_dependencies_down": _from_busiest(dependencies, direction="downstream"),
+    "graph_dependencies_down": _from_busiest(dependencies, callers=False, direction="downstream"),
     "graph_blast_radius": _from_busiest(blast_radius),
     "graph_trace": trace_to_busiest,
     "graph_flow_roots": _q(flow_roots),
@@ -264,6 +277,7 @@ roots AS (SELECT s.stable_id FROM sf s LEFT JOIN sc p ON p.stable_id = s.parent_
   UNION SELECT stable_id FROM sf WHERE NOT is_test AND kind IN ('function', 'class') AND lower(path) LIKE '%.tsx' AND regexp_matches(name, '^[A-Z]')),
 live(stable_id) AS (SELECT stable_id FROM roots UNION SELECT e.target_id FROM ec e JOIN live l ON l.stable_id = e.source_id WHERE e.kind IN {_KINDS(S.LIVENESS_KINDS)}),
 busy AS (SELECT target_id AS id FROM ec WHERE kind = 'calls' AND target_id IN (SELECT stable_id FROM sc) GROUP BY 1 ORDER BY count(DISTINCT source_id) DESC, target_id LIMIT 1),
+busy_caller AS (SELECT source_id AS id FROM ec WHERE kind = 'calls' AND source_id IN (SELECT stable_id FROM sc) GROUP BY 1 ORDER BY count(DISTINCT target_id) DESC, source_id LIMIT 1),
 dead AS (SELECT stable_id, name, qualified_name, kind, path, line_start, file_id FROM sf WHERE NOT is_exported AND NOT is_test AND kind IN {_KINDS(S.DEAD_KINDS)} AND name <> 'constructor'
   AND stable_id NOT IN (SELECT stable_id FROM live WHERE stable_id IS NOT NULL)),
 callable AS (SELECT * FROM sf WHERE is_exported AND NOT is_test AND kind IN {_KINDS(S.CALLABLE_KINDS)}),
@@ -305,7 +319,7 @@ ORACLE = {
     "risk_hot_fragile": _sql("SELECT *, commits * untested_count AS fragility FROM fragile WHERE untested_count > 0"),
     "risk_untested": _sql("SELECT stable_id, name, kind, path, line_start FROM callable WHERE stable_id NOT IN (SELECT stable_id FROM called)"),
     "graph_dependencies_up": _sql(_walk_sql(_NO_CONTAINS, True, 3) + _DEPS),
-    "graph_dependencies_down": _sql(_walk_sql(_NO_CONTAINS, False, 3) + _DEPS),
+    "graph_dependencies_down": _sql(_walk_sql(_NO_CONTAINS, False, 3).replace("FROM busy ", "FROM busy_caller ") + _DEPS),
     "graph_blast_radius": _sql(
         ", members AS (SELECT DISTINCT e.target_id AS id FROM ec e JOIN busy ON e.source_id = busy.id WHERE e.kind = 'contains' AND EXISTS " + _CLASS + ")"
         + _walk_sql(_NO_CONTAINS, True, 5, "UNION ALL SELECT id, 1 FROM members")

@@ -138,8 +138,8 @@ def _q(f, **kw):
 
 
 QUERIES = {
-    "symbols_search_exact": _q(search_exact, name="bindRoot", limit=20),
-    "symbols_names_by_kinds": _q(names_by_kinds, names=["bindRoot", "bind_root", "scanGauge", "sealChunk"], kinds=["function", "method"]),
+    "symbols_search_exact": _q(search_exact, name="filter_commit_token", limit=20),
+    "symbols_names_by_kinds": _q(names_by_kinds, names=["queueTokenFolio", "filter_commit_token"], kinds=["function", "method"]),
     "symbols_top_exported": _q(top_exported),
     "symbols_hydrated": _q(top_exported, limit=None),
     "symbols_callers": _q(call_sites, inbound=True, kind="calls"),
@@ -150,7 +150,7 @@ QUERIES = {
     "symbols_status": _q(status),
     "symbols_freshness": _q(freshness),
     "symbols_ranked": _q(ranked),
-    "symbols_resolve": _q(resolve, query="lib:bindRoot"),
+    "symbols_resolve": _q(resolve, query="BundleTicket:queueTokenFolio"),
     "symbols_natural_keys": _q(natural_keys),
     "symbols_overview": _q(overview),
     "symbols_enclosing": _q(enclosing),
@@ -165,8 +165,8 @@ _SITES = """SELECT e.{own} AS stable_id, e.{other} AS other_id, s.name AS other_
 FROM ec e JOIN sf s ON s.stable_id = e.{other}"""
 
 ORACLE = {
-    "symbols_search_exact": with_views(_HYD + "s.name = 'bindRoot' AND NOT s.is_test ORDER BY s.is_exported DESC, s.name, s.stable_id LIMIT 20"),
-    "symbols_names_by_kinds": with_views("SELECT stable_id, name, kind, path FROM sf WHERE name IN ('bindRoot', 'bind_root', 'scanGauge', 'sealChunk') AND kind IN ('function', 'method') AND NOT is_test"),
+    "symbols_search_exact": with_views(_HYD + "s.name = 'filter_commit_token' AND NOT s.is_test ORDER BY s.is_exported DESC, s.name, s.stable_id LIMIT 20"),
+    "symbols_names_by_kinds": with_views("SELECT stable_id, name, kind, path FROM sf WHERE name IN ('queueTokenFolio', 'filter_commit_token') AND kind IN ('function', 'method') AND NOT is_test"),
     "symbols_top_exported": with_views(_TOP + " ORDER BY dependent_count DESC, s.name, s.stable_id LIMIT 8"),
     "symbols_hydrated": with_views(_TOP),
     "symbols_callers": with_views(_SITES.format(own="target_id", other="source_id") + " WHERE e.kind = 'calls'"),
@@ -184,8 +184,8 @@ ORACLE = {
         coalesce(list_position(['class', 'interface', 'function', 'type', 'method', 'enum', 'variable', 'module', 'property'], kind), 10), length(qualified_name), stable_id) AS r FROM sf) WHERE r = 1"""
     ),
     "symbols_resolve": with_views(
-        """WITH x AS (SELECT *, 0 AS tier FROM sf WHERE lower(path) LIKE '%lib%' AND name = 'bindRoot' UNION ALL SELECT *, 1 FROM sf WHERE name = 'lib:bindRoot'
-        UNION ALL SELECT *, 2 FROM sf WHERE lower(qualified_name) LIKE '%lib:bindroot%')
+        """WITH x AS (SELECT *, 0 AS tier FROM sf WHERE lower(path) LIKE '%bundleticket%' AND name = 'queueTokenFolio' UNION ALL SELECT *, 1 FROM sf WHERE name = 'BundleTicket:queueTokenFolio'
+        UNION ALL SELECT *, 2 FROM sf WHERE lower(qualified_name) LIKE '%bundleticket:queuetokenfolio%')
         SELECT stable_id, name, qualified_name, kind, path, tier FROM x ORDER BY tier, is_exported DESC, parent_id IS NOT NULL, length(qualified_name), stable_id LIMIT 1"""
     ),
     "symbols_natural_keys": with_views("SELECT stable_id, substr(sha256(path || ':' || kind || ':' || qualified_name), 1, 32) AS computed_id, substr(sha256(path || ':' || kind || ':' || qualified_name), 1, 32) = stable_id AS equal FROM sf"),
