@@ -130,9 +130,11 @@ def free_shuffles(spark: SparkSession) -> None:
     all rounds stay on the executors' disks until the driver happens to collect.
     """
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside this thread
 
 
 def partitions(spark: SparkSession) -> int:
