@@ -132,9 +132,10 @@ def free_shuffles(spark: SparkSession) -> None:
     import gc
     import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works beside this thread
+    for _ in range(2):  # objects let go of by Python are released in the JVM a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works beside this thread
 
 
 def partitions(spark: SparkSession) -> int:
