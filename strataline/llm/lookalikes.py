@@ -36,6 +36,9 @@ _VISIBLE = frozenset(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891,
 # Invisible characters of other categories
 _UNSEEN = frozenset(map(chr, [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)]))
 
+#: Words of one block of the vocabulary, about.
+BLOCK_WORDS = 50_000
+
 #: A token is a run of letters, marks, digits and invisible characters.
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}ㅤﾠ]+", regex.V1)
 
@@ -150,12 +153,14 @@ class Trie:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, token, n) of the texts of a task: distinct tokens, counted before the shuffle."""
-    names = ["block", "token", "n"]
+    """(block, look, token, n) of the texts of a task: distinct tokens, counted before the shuffle."""
+    names = ["block", "look", "token", "n"]
 
     def flush(seen: Counter) -> pa.RecordBatch:
         toks = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([_block(t) for t in toks], pa.string()), pa.array(toks, pa.string()), pa.array([seen[t] for t in toks], pa.int64())], names=names)
+        plain = [by_table(t) for t in toks]
+        blocks = [f"{len(p)}:{p[:3]}" for p in plain]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), pa.array(plain, pa.string()), pa.array(toks, pa.string()), pa.array([seen[t] for t in toks], pa.int64())], names=names)
 
     seen: Counter = Counter()
     for b in batches:
@@ -169,12 +174,6 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(seen)
 
 
-def _block(token: str) -> str:
-    """Part of the vocabulary a token belongs to; the same for all tokens of one look."""
-    s = by_table(token)
-    return f"{len(s)}:{s[:3]}"
-
-
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, canonical) for the non-ASCII tokens of whole blocks, which come sorted by block."""
     names = ["token", "canonical"]
@@ -213,11 +212,19 @@ def spellings(texts: DataFrame) -> DataFrame:
 
     ASCII tokens are their own canonical spelling. The vocabulary is all tokens of all
     texts, shuffled once as distinct tokens with counts, in blocks by length and beginning
-    of what they look like; each block's trie is built and searched in one task.
+    of what they look like; each block's trie is built and searched in one task. A block
+    of more than BLOCK_WORDS words is split by the hash of the look, which all tokens that
+    can match for nothing have in common, so no task holds an unbounded vocabulary.
     """
     parts = partitions(texts.sparkSession)
-    words = texts.mapInArrow(_vocabulary, "block string, token string, n long").groupBy("block", "token").agg(F.sum("n").alias("n"))
-    return words.repartition(parts, "block").sortWithinPartitions("block").select("block", "token", "n").mapInArrow(_match, "token string, canonical string")
+    words = texts.mapInArrow(_vocabulary, "block string, look string, token string, n long")
+    words = Stored(words.groupBy("block", "token").agg(F.sum("n").alias("n"), F.first("look").alias("look")), "vocabulary")
+    w = words.read()
+    # at most words / BLOCK_WORDS rows
+    big = w.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_WORDS).alias("k")).where(F.col("k") > 1)
+    part = F.when(F.col("k").isNull(), F.col("block")).otherwise(F.concat_ws("/", "block", F.pmod(F.xxhash64("look"), F.col("k")).cast("string")))
+    split = w.join(F.broadcast(big), "block", "left").select(part.alias("block"), "token", "n")
+    return split.repartition(parts, "block").sortWithinPartitions("block").select("block", "token", "n").mapInArrow(_match, "token string, canonical string")
 
 
 def canonical(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

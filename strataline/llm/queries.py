@@ -57,6 +57,11 @@ def p5_found(spark, d):
     return pairs.select("stable_id_a", "stable_id_b")
 
 
+def p5_search(spark, d):
+    """Greedy graph search for every symbol whose id is divisible by 100."""
+    return neighbours.search_symbols(table(spark, d, "embedding_meta"), table(spark, d, "symbol_embeddings"))
+
+
 def p8_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -88,7 +93,7 @@ def p10_spellings(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p3_found, p3_origins, p4_found, p4_entities, p5_found, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
+    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p3_found, p3_origins, p4_found, p4_entities, p5_found, p5_search, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
 }
 
 _TOGETHER = """

@@ -126,6 +126,19 @@ def test_all_neighbours_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_greedy_search_recall(spark):
+    x = planted(1500, 16, 10, 7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
+    c = neighbours.Collection(df, "k", "v", 16)
+    g = neighbours.graph(c.codes.read(), c.n, c.mean)
+    asked = x[:40] + np.float32(0.05)
+    got = neighbours.search(c, g, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "q long, v array<float>"), 5)
+    named = {(r["q"], r["key"]) for r in got.join(c.heads.select("id", "key"), "id").collect()}
+    u, v = x / np.linalg.norm(x, axis=1, keepdims=True), asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    want = {(i, int(j)) for i in range(40) for j in np.argsort(-(v[i] @ u.T))[:5]}
+    assert len(named & want) >= 0.9 * len(want)
+
+
 def test_invalid_rows_copies_and_empty(spark):
     rows = [("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None), (None, [1.0, 0.0]), ("e", [None, 1.0]), ("f", [float("nan"), 1.0])]
     rows += [(f"m{i:02}", [2.0, 2.0]) for i in range(9)] + [("n", [2.0, 2.01])]
