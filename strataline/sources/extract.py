@@ -190,7 +190,7 @@ def endpoints(text: str | None) -> list[tuple[str, str | None, str, int]]:
     for m in _SERVER.finditer(text or ""):
         verb = m[1].upper()
         out.append((m[2], None if verb in ("HANDLEFUNC", "HANDLE", "ANY") else verb, "server", text.count("\n", 0, m.start()) + 1))
-    return out
+    return sorted(out, key=lambda e: e[3])
 
 
 def fingerprint(signature: str, name: str) -> str:
