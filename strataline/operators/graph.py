@@ -22,33 +22,36 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, stor
     if "depth" not in seeds.columns:
         seeds = seeds.withColumn("depth", F.lit(0))
     start = seeds.groupBy("key", "id").agg(F.min("depth").cast("int").alias("depth"))
-    seen = [Stored(start, "reach")]
-    least = seeds.agg(F.min("depth")).first()[0]
-    if least is None:
-        return seen[0].read()
-    level, late = least, seeds.agg(F.max("depth")).first()[0]
+    first = Stored(start, "reach")
+    span = first.read().agg(F.min("depth").alias("lo"), F.max("depth").alias("hi")).first()
+    if span["lo"] is None:
+        return first.read()
+    level, late = span["lo"], span["hi"]
+    found: list[Stored] = []
     while max_depth is None or level < max_depth:
-        last = seen[-1].read().where(F.col("depth") == level) if level <= late else seen[-1].read()
-        if level <= late and len(seen) > 1:
-            last = last.unionByName(seen[0].read().where(F.col("depth") == level)).distinct()
+        # nodes whose depth is `level`: seeds that start there, and what the last round found
+        last = first.read().where(F.col("depth") == level).select("key", "id") if level <= late else None
+        if found:
+            new = found[-1].read().select("key", "id")
+            last = new if last is None else last.unionByName(new).distinct()
+        seen = first.read().where(F.col("depth") <= level + 1).select("key", "id") if level < late else first.read().select("key", "id")
+        for s in found:
+            seen = seen.unionByName(s.read().select("key", "id"))
         step = last.join(e.read().withColumnRenamed("src", "id"), "id").select("key", F.col("dst").alias("id")).distinct()
-        for s in seen:
-            known = s.read().where(F.col("depth") <= level + 1) if s is seen[0] else s.read()
-            step = step.join(known.select("key", "id"), ["key", "id"], "left_anti")
-        new = Stored(step.select("key", "id", F.lit(level + 1).cast("int").alias("depth")), "reach")
+        new = Stored(step.join(seen, ["key", "id"], "left_anti").withColumn("depth", F.lit(level + 1).cast("int")), "reach")
         level += 1
         if new.count() == 0 and level > late:
             new.drop()
             break
-        seen.append(new)
-        if len(seen) > 16:  # keep the plan small on long chains
-            merged = seen[0].read()
-            for s in seen[1:-1]:
+        found.append(new)
+        if len(found) > 16:  # keep the plan small on long chains
+            merged = found[0].read()
+            for s in found[1:-1]:
                 merged = merged.unionByName(s.read())
-            seen = [Stored(merged, "reach"), seen[-1]]
+            found = [Stored(merged, "reach"), found[-1]]
             free_shuffles(spark)
-    out = seen[0].read()
-    for s in seen[1:]:
+    out = first.read()
+    for s in found:
         out = out.unionByName(s.read())
     return out.groupBy("key", "id").agg(F.min("depth").alias("depth"))
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from strataline.functions.text import sanitize
 from strataline.operators import relational as R
 
-_V = re.compile(r"[aeiou]|(?<=[^aeiou])y|(?<=[aeiou])y(?!.)")
 
 
 def _form(w: str) -> str:
