@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.operators.skew import hot_keys, lookup
+from strataline.operators.skew import HOT_PARTS, HOT_ROWS, hot_keys, lookup
 from strataline.session import Stored, free_shuffles, partitions
 
-#: Rows in a leaf of a tree, on average; a leaf is compared within itself in blocks of CAP.
+#: Rows in a leaf of a tree, on average; rows of a leaf that are compared with the others at a time.
 LEAF, CAP = 256, 1024
+#: Rows of a leaf that one task compares; all pairs of blocks of so many rows of a larger leaf are compared.
+SPAN = 16_384
 #: Trees at least; more as the collection grows (one per level).
 TREES = 8
 #: Neighbours kept in the graph, neighbours each node brings to a join from either direction.
@@ -96,6 +98,40 @@ def _leaves(mean: np.ndarray, trees: int, depth: int, seed: int):
     return run
 
 
+def _sizes(leaves):
+    """(leaf, n): how many rows of a batch are in each leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in leaves(batches):
+            leaf, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], names=["leaf", "n"])
+
+    return run
+
+
+def _cells(codes: DataFrame, leaves, span: int) -> tuple[DataFrame, Stored]:
+    """(leaf, id, code, far) of each row in every tree, and the leaves of more than ``span`` rows.
+
+    Such a leaf is cut into blocks; every pair of blocks and every block is a leaf of its own
+    (a cell), where ``far`` is 1 for the second block of a pair. Rows of the largest leaves meet
+    the size of their leaf by broadcast, so a leaf that holds most rows is not gathered.
+    """
+    rows = codes.mapInArrow(leaves, "leaf long, id long, code binary")
+    sizes = codes.mapInArrow(_sizes(leaves), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    large = Stored(sizes.where(F.col("n") > span), "large-leaves")
+    if not large.count():
+        return rows.withColumn("far", F.lit(0)), large
+    n = large.read()
+    hot = n.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "leaf").limit(HOT_PARTS * partitions(codes.sparkSession)).select("leaf")
+    small = lookup(rows, n.select("leaf"), "leaf", "left_anti", hot).withColumn("far", F.lit(0))
+    blocks = F.ceil(F.col("n") / span)
+    cut = lookup(rows, n, "leaf", "inner", hot).withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+    cells = cut.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
+        F.xxhash64("leaf", F.least("own", "met"), F.greatest("own", "met")).alias("leaf"), "id", "code", (F.col("own") > F.col("met")).cast("int").alias("far")
+    )
+    return small.unionByName(cells), large
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[tuple[np.ndarray, list, list]]:
     """Runs of rows with one first column, in blocks of at most ``cap`` rows."""
     held: list[list] = [[], []]
@@ -139,20 +175,26 @@ def _within(per: int, least: float):
     """(id, near): the most similar rows of the same leaf, LEAD of them even if below ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, codes in _blocks(batches, CAP):
+        for _, ids, codes, far in _blocks(batches, 1 << 62):
             if len(ids) < 2:
                 continue
-            ids = np.asarray(ids, np.int64)
+            ids, far = np.asarray(ids, np.int64), np.asarray(far, bool)
             x = _decode(codes)
-            s = x @ x.T
-            np.fill_diagonal(s, -9)
-            k = min(per, len(ids) - 1)
-            idx = np.argpartition(s, -k, axis=1)[:, -k:]
-            top = np.take_along_axis(s, idx, axis=1)
-            order = np.argsort(-top, axis=1, kind="stable")
-            idx, top = np.take_along_axis(idx, order, 1), np.take_along_axis(top, order, 1)
-            ok = (top >= least) | (np.arange(k) < LEAD)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(top, idx, ids, ok)], names=["id", "near"])
+            sides = [(~far, far), (far, ~far)] if far.any() and not far.all() else [(np.ones(len(ids), bool),) * 2]
+            for mine, theirs in sides:
+                rows, others = np.flatnonzero(mine), np.flatnonzero(theirs)
+                k = min(per, len(others) - (len(sides) == 1))
+                for at in range(0, len(rows), CAP):
+                    who = rows[at : at + CAP]
+                    s = x[who] @ x[others].T
+                    if len(sides) == 1:
+                        s[np.arange(len(who)), who] = -9
+                    idx = np.argpartition(s, -k, axis=1)[:, -k:]
+                    top = np.take_along_axis(s, idx, axis=1)
+                    order = np.argsort(-top, axis=1, kind="stable")
+                    idx, top = np.take_along_axis(idx, order, 1), np.take_along_axis(top, order, 1)
+                    ok = (top >= least) | (np.arange(k) < LEAD)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), _lists(top, others[idx], ids, ok)], names=["id", "near"])
 
     return run
 
@@ -209,9 +251,10 @@ def graph(codes: DataFrame, n: int, mean: np.ndarray, least: float = -1.0, round
     parts = partitions(spark)
     depth = max(0, math.ceil(math.log2(max(1, n / LEAF))))
     t = (trees or max(TREES, depth)) if depth else 1
-    leaves = codes.mapInArrow(_leaves(mean, t, depth, seed), "leaf long, id long, code binary")
+    leaves, large = _cells(codes, _leaves(mean, t, depth, seed), SPAN)
     near = leaves.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_within(PER_LEAF, least), f"id long, near {_LIST_SQL}")
     now = Stored(near.groupBy("id").agg(_best(F.flatten(F.collect_list("near")), keep).alias("near")), "graph")
+    large.drop()
     for r in range(rounds):
         free_shuffles(spark)
         g = now.read()

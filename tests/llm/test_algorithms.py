@@ -118,6 +118,19 @@ def test_close_neighbours_are_found(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("span", [400, 16_384])
+def test_dense_cluster_is_compared_whole(spark, monkeypatch, span):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 64)).astype(np.float32)
+    x[::3] = x[0] / np.linalg.norm(x[0]) + 0.034 * x[::3]
+    monkeypatch.setattr(neighbours, "CAP", 64)
+    monkeypatch.setattr(neighbours, "SPAN", span, raising=False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
+    got = {(r["key"], r["neighbour"]) for r in neighbours.neighbours(df, "k", "v", 64, 5, 0.9).collect()}
+    want = top(x, 5, 0.9)
+    assert len(want) > 4000 and len(got & want) / len(want) >= 0.9
+
+
 def test_all_neighbours_recall(spark):
     x = planted(1500, 16, 10, 4)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
