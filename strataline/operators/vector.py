@@ -1,4 +1,4 @@
-"""Exact vector search of a stated query set against all rows, in blocks."""
+"""Exact vector search of a stated query set, or of all rows, against all rows, in blocks."""
 
 from __future__ import annotations
 
@@ -57,3 +57,43 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, metric: str = "cosin
     cells = q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInPandas(cell, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return cells.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+def close(rows: DataFrame, k: int = 5, least: float = 0.92, metric: str = "cosine") -> DataFrame:
+    """(query_id, id, score): the ``k`` best others of every row, with a score of at least ``least``.
+
+    As ``search`` with all rows as queries, and as exact: blocks of ROWS rows meet each other,
+    products in single precision with a margin name the candidates, double precision decides.
+    """
+    nb = max(1, -(-rows.count() // ROWS))
+    own, each = F.pmod(F.xxhash64("id"), F.lit(nb)), F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
+    q = rows.select(F.col("id").alias("qid"), "v", own.alias("qb"), each.alias("rb"))
+    r = rows.select(F.col("id").alias("rid"), F.col("v").alias("rv"), own.alias("rb"), each.alias("qb"))
+    bound = (1 - (1 - least) ** 2 / 2 if metric == "l2" else least) - 1e-4
+
+    def unit(col: pd.Series) -> np.ndarray:
+        x = np.stack([np.asarray(v, np.float64) for v in col])
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})]
+        if not len(a) or not len(b):
+            return out[0]
+        x, y, qids, ids = unit(a["v"]), unit(b["rv"]), a["qid"].to_numpy(), b["rid"].to_numpy()
+        x4, y4 = x.astype(np.float32), y.astype(np.float32).T
+        step = QUERIES // 4
+        for at in range(0, len(x), step):
+            i, j = np.nonzero(x4[at : at + step] @ y4 >= bound)
+            if len(i) > 100_000:
+                s = (x[at : at + step] @ y.T)[i, j]
+            else:
+                s = (x[at + i] * y[j]).sum(axis=1)
+            s = np.round(1 - np.sqrt(np.maximum(2 - 2 * s, 0)) if metric == "l2" else s, 9)
+            ok = (s >= least) & (qids[at + i] != ids[j])
+            t = pd.DataFrame({"query_id": qids[at + i[ok]], "id": ids[j[ok]], "score": s[ok]})
+            out.append(t.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k))
+        return pd.concat(out)
+
+    cells = q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInPandas(cell, "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return cells.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")

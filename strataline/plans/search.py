@@ -33,15 +33,16 @@ def semantic_search(t: Tables, k: int = 5, include_tests: bool = False) -> DataF
     return V.search(v.where(F.col("id") % EVERY == 0), rows, k).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-def duplicates(t: Tables, least: float = 0.92, k: int = 5, metric: str = "cosine") -> DataFrame:
-    """(symbol_a_id, symbol_b_id, similarity): near-equal symbols of every hundredth one.
+def duplicates(t: Tables, least: float = 0.92, k: int = 5, metric: str = "cosine", every: int = 1) -> DataFrame:
+    """(symbol_a_id, symbol_b_id, similarity): near-equal symbols, one among the ``k`` nearest of the other.
 
     Kinds and least text length as in DUPLICATE_KINDS and DUPLICATE_SPAN; pairs with a test side are left out.
+    With ``every`` over 1 only pairs found from an id divisible by it.
     """
     ok = t.placed.where(F.col("kind").isin(*DUPLICATE_KINDS) & ~F.col("is_test") & (F.col("byte_end") - F.col("byte_start") >= DUPLICATE_SPAN)).select(F.col("stable_id").alias("symbol_stable_id"))
     ids = t.raw("embedding_meta").join(ok, "symbol_stable_id", "left_semi").select(F.col("symbol_id").alias("id")).distinct()
     v = vectors(t).join(ids, "id", "left_semi")
-    hit = V.search(v.where(F.col("id") % EVERY == 0), v, k, metric).where(F.col("score") >= least)
+    hit = V.close(v, k, least, metric) if every == 1 else V.search(v.where(F.col("id") % every == 0), v, k, metric).where(F.col("score") >= least)
     return hit.select(F.least("query_id", "id").alias("symbol_a_id"), F.greatest("query_id", "id").alias("symbol_b_id"), F.round("score", 6).alias("similarity")).distinct()
 
 
@@ -90,7 +91,8 @@ def _q(f, **kw):
 
 QUERIES = {
     "vector_semantic_search": _q(semantic_search),
-    "vector_duplicates": _q(duplicates),
+    "vector_duplicates": _q(duplicates, every=EVERY),  # what its SQL says
+    "vector_duplicates_all": _q(duplicates),
     "vector_duplicates_l2": _q(duplicates, metric="l2", least=0.7),
     "vector_stale": _q(stale_embeddings),
     "text_search": _q(full_text, query="filter token"),
