@@ -435,14 +435,17 @@ def search(c: Collection, g: Stored, queries: DataFrame, k: int = 5, beam: int =
 
 def search_symbols(meta: DataFrame, embeddings: DataFrame, dim: int = 64, k: int = 5, least: float = 0.9, every: int = 100) -> DataFrame:
     """(query_id, symbol_id): the ``k`` nearest symbols, at least ``least`` similar, of every symbol whose id is
-    divisible by ``every``, by greedy search on the graph of all symbols. Of equal vectors one symbol is searched."""
+    divisible by ``every``, by greedy search on the graph of all symbols. Symbols with one and the same vector are
+    each other's nearest, as in ``neighbours``."""
     known = meta.select("symbol_id").distinct()
     c = Collection(embeddings.join(known, "symbol_id", "left_semi"), "symbol_id", "embedding", dim)
     g = graph(c.codes.read(), c.n, c.mean, least=least - 0.05)
-    ids = c.heads.select("id", F.col("key").alias("symbol_id"))
-    asked = ids.where(F.col("symbol_id") % every == 0)
-    found = search(c, g, c.vectors.read().join(asked, "id").select(F.col("id").alias("q"), "v"), k + 1)
+    names = c.heads.select("id", "key") if c.members is None else c.members.select("id", "key")
+    asked = names.where(F.col("key") % every == 0)
+    found = search(c, g, c.vectors.read().join(asked.select("id").distinct(), "id").select(F.col("id").alias("q"), "v"), k + 1)
     pairs = found.where(F.col("q") != F.col("id")).select(F.col("q").alias("a"), F.col("id").alias("b"))
-    sims = _exact(c, pairs).where(F.col("sim") >= least)
-    top = sims.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k)
-    return top.join(ids.select(F.col("id").alias("a"), F.col("symbol_id").alias("query_id")), "a").join(ids.select(F.col("id").alias("b"), "symbol_id"), "b").select("query_id", "symbol_id")
+    sims = _exact(c, pairs).where(F.col("sim") >= least).join(c.heads.select(F.col("id").alias("b"), F.col("key").alias("nb")), "b")
+    top = sims.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "nb"))).where(F.col("r") <= k).select("a", "b", "nb", "sim")
+    if c.members is None:
+        return top.join(asked.withColumnRenamed("id", "a"), "a").select(F.col("key").alias("query_id"), F.col("nb").alias("symbol_id"))
+    return _with_copies(c, top, k).where(F.col("key") % every == 0).select(F.col("key").alias("query_id"), F.col("neighbour").alias("symbol_id"))

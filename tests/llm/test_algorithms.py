@@ -152,6 +152,17 @@ def test_greedy_search_recall(spark):
     assert len(named & want) >= 0.9 * len(want)
 
 
+def test_search_of_copies(spark):
+    x = np.random.default_rng(2).standard_normal((60, 16))
+    x[20] = x[10]  # a symbol asked for whose vector a smaller id bears
+    x[31] = x[30]  # and one whose copy has a greater id
+    x[50] = x[30] + 0.01
+    meta = spark.createDataFrame([(f"s{i}", i + 90) for i in range(60)], "symbol_stable_id string, symbol_id long")
+    emb = spark.createDataFrame([(i + 90, v.tolist()) for i, v in enumerate(x)], "symbol_id long, embedding array<double>")
+    got = {tuple(r) for r in neighbours.search_symbols(meta, emb, 16, every=10).collect()}
+    assert got == {(i + 90, j + 90) for i, j in [(20, 10), (10, 20), (30, 31), (30, 50), (50, 30), (50, 31)]}
+
+
 def test_invalid_rows_copies_and_empty(spark):
     rows = [("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None), (None, [1.0, 0.0]), ("e", [None, 1.0]), ("f", [float("nan"), 1.0])]
     rows += [(f"m{i:02}", [2.0, 2.0]) for i in range(9)] + [("n", [2.0, 2.01])]
