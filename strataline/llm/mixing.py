@@ -36,10 +36,11 @@ def _encoding(path: str, pattern: str):
 
 
 def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens): size of every document in tokens of a public tokenizer.
+    """(doc_id, source, h, tokens): size of every document in tokens of a public tokenizer.
 
     Whole texts; a null or empty text has no tokens. Copies of one text within a task's
-    batch are counted once. The vocabulary file is read by each task from ``path``.
+    batch are counted once. The vocabulary file is read by each task from ``path``. ``h`` is
+    a hash of the text.
     """
     import public_tokenizers
 
@@ -58,10 +59,11 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
                 if t not in known:
                     known[t] = _length(enc, t)
                 out.append(known[t])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(out, pa.int64())], names=["doc_id", "source", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("h"), pa.array(out, pa.int64())], names=["doc_id", "source", "h", "tokens"])
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "source")}
-    return docs.select("doc_id", "source", "text").mapInArrow(count, f"doc_id {kinds['doc_id']}, source {kinds['source']}, tokens long")
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(count, f"doc_id {kinds['doc_id']}, source {kinds['source']}, h long, tokens long")
 
 
 def _length(enc, text: str) -> int:
@@ -153,7 +155,7 @@ def plan_shares(totals: DataFrame, targets: DataFrame, total_tokens: int | None
     t = targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0) & F.col("source").isNotNull())
     t = t.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.target_share", "t.max_repeats")
     x = t.join(totals.where(F.col("available") > 0), "source")
-    mass = x.agg(F.sum("target_share").alias("sum_share"))
+    mass = x.agg(F.round(F.sum("target_share"), 12).alias("sum_share"))  # whatever the order of the sum
     x = x.crossJoin(F.broadcast(mass)).withColumn("share", F.col("target_share") / F.col("sum_share"))  # one row beside the few sources
     most = x.agg(F.min(F.col("max_repeats") * F.col("available") / F.col("share")).alias("most"))
     size = F.col("most") if total_tokens is None else F.least(F.col("most"), F.lit(float(total_tokens)))
@@ -169,13 +171,18 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     one document. Documents stay spread over tasks: they are rounded in nodes of bounded
     size, each leaving at most one fractional document, and the left-overs are combined by
     a tree with fan-in FAN_IN; the last of a source is drawn. A source with a third of all
-    rows is therefore many nodes. Draws depend on ``seed``, the document and its text only.
+    rows is therefore many nodes. Draws depend on ``seed``, the document's id, its text and,
+    for repeated rows, the number of the repetition, never on how the rows are stored.
 
     Documents of sources without a target, with a null source or without tokens are not
     used; repeated rows are documents of their own. Empty tables give an empty mix.
     """
-    counts = Stored(token_counts(docs, path).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    c = counts.read().where((F.col("tokens") > 0) & F.col("source").isNotNull())
+    some = token_counts(docs, path).where((F.col("tokens") > 0) & F.col("source").isNotNull())
+    times = some.groupBy("doc_id", "source", "h", "tokens").agg(F.count(F.lit(1)).alias("times"))
+    each = times.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    name = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull().cast("string"), F.hex("h"), "source", F.col("nth").cast("string"))
+    counts = Stored(each.select("doc_id", "source", "tokens", F.unhex(F.md5(name)).alias("uid")), "tokens")
+    c = counts.read()
     totals = c.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("documents"))
     shares = Stored(plan_shares(totals, targets, total_tokens), "shares")
     # one row per targeted source, however many documents there are
@@ -191,7 +198,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     cols = ["node", "source", "uid", "tokens", "p", "coin"]
     slot = F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("nodes"))
     level = d.where(F.col("p") > 0).select(F.concat_ws("|", "source", slot.cast("string")).alias("node"), "source", "uid", "tokens", "p", coin)
-    schema = "node string, source string, uid long, tokens long, p double, coin double, extra long"
+    schema = "node string, source string, uid binary, tokens long, p double, coin double, extra long"
     settled = None
     while True:
         out = Stored(level.repartition(parts, "node").sortWithinPartitions("node", F.desc("tokens"), "uid").select(*cols).mapInArrow(_round, schema), "rounded")

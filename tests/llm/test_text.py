@@ -98,6 +98,14 @@ def test_mix_shares_repeats_and_edges(spark):
     assert mixing.mix(d.limit(0), t).collect() == [] and mixing.mix(d, t.limit(0)).collect() == []
 
 
+def test_mix_does_not_depend_on_how_rows_are_stored(spark):
+    docs = [(i % 90, f"text {i % 50} " * (i % 7 + 1), "ab"[i % 2]) for i in range(300)] + [(None, "no id", "a"), (1, "text 1 ", "b")] * 3
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 3)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, mixing.mix(d, targets).collect()), key=str) for d in (df, df.repartition(5), df.orderBy("text").coalesce(1))]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
 def test_pivot_keeps_mass_and_expectation():
     import numpy as np
 
