@@ -1,13 +1,11 @@
 """Items that appear together more often than chance, by a blocked Gram matrix (problem 2).
 
-The Gram matrix X'X of the binary basket-by-item matrix X is summed from two parts, so that
-no record block emits the square of a large basket:
-
-* narrow baskets (at most ``wide`` items): sparse transpose-products, summed inside each
-  record block by numpy before anything is shuffled;
-* wide baskets: their rows of X are kept as bit columns per item. Their share of a cell is
-  the common bits of two items, looked up for the cells the narrow part touches, and taken
-  from dense products of item blocks (BLAS) for all others, emitting only cells that pass.
+The Gram matrix X'X of the binary basket-by-item matrix X is computed block by block. Items
+are numbered in the order of their names within their group, so items that go together tend
+to share a block; a basket is one sparse row, cut into the slices of its item blocks. Every
+pair of blocks that some basket touches is a cell of the block matrix: the slices of both
+blocks meet there, record block by record block, their transpose-products are summed, and
+the sums of all record blocks are added up. A basket of any size is cut the same way.
 """
 
 from __future__ import annotations
@@ -15,87 +13,142 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.operators.skew import hot_keys, lookup
 from strataline.session import Stored, partitions
 
-#: Baskets with more items are wide. Any value gives the same result.
-WIDE = 256
-#: Items on one side of a dense block.
+#: Items of one block; any value gives the same result.
 BLOCK = 2048
-#: Pairs a task expands before it sums them up.
+#: Entries of X in one record block of a pair of item blocks; any value gives the same result.
+ENTRIES = 2_000_000
+#: Cells expanded before they are summed up.
 FLUSH = 4_000_000
 
 
-def _sparse_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of transpose-products over the narrow baskets of one record block."""
-    names = ["i", "j", "n"]
-
-    def product(rows: list[np.ndarray]) -> pa.RecordBatch:
-        left, right = [], []
-        by_size: dict[int, list[np.ndarray]] = {}
-        for r in rows:
-            by_size.setdefault(len(r), []).append(r)
-        for k, group in by_size.items():
-            x = np.sort(np.stack(group), axis=1)
-            u, v = np.triu_indices(k, 1)
-            left.append(x[:, u].ravel())
-            right.append(x[:, v].ravel())
-        i, j = np.concatenate(left), np.concatenate(right)
-        order = np.lexsort((j, i))
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        n = np.diff(np.r_[first, len(i)])
-        return pa.RecordBatch.from_arrays([pa.array(i[first]), pa.array(j[first]), pa.array(n.astype(np.int64))], names=names)
-
-    held, size = [], 0
-    for b in batches:
-        col = b.column(0)
-        offs, vals = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-        for s, e in zip(offs[:-1], offs[1:]):
-            k = e - s
-            held.append(vals[s:e])
-            size += k * (k - 1) // 2
-            if size >= FLUSH:
-                yield product(held)
-                held, size = [], 0
-    if held:
-        yield product(held)
-
-
-def _dense_block(least: int, lift: float):
-    """Dense product of two blocks of items over the wide baskets of their group."""
-
-    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        a = pdf[pdf["block"] == one]
-        b = pdf[pdf["block"] == two]
-
-        def bits(side: pd.DataFrame, width: int) -> np.ndarray:
-            x = np.zeros((len(side), width), np.float32)
-            for r, w in enumerate(side["wides"]):
-                x[r, np.asarray(w, dtype=np.int64)] = 1
-            return x
-
-        width = int(max(int(max(w)) for w in pdf["wides"])) + 1
-        n = np.zeros((len(a), len(b)), np.float32)
-        xa, xb = bits(a, width), bits(b, width)
-        n = xa @ xb.T
-        total = float(pdf["total"].iloc[0])
-        ok = (n >= least) & (n.astype(np.float64) * total >= lift * np.outer(a["a"].to_numpy(np.float64), b["a"].to_numpy(np.float64)))
-        r, c = np.nonzero(ok)
-        i, j = a["iid"].to_numpy()[r], b["iid"].to_numpy()[c]
-        keep = i < j if one == two else i != j
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep]})
-
-    return cells
-
-
-def together(rows: DataFrame, basket: str, item: str, group: str, least: int = 4, lift: float = 4.0, wide: int = WIDE) -> DataFrame:
+class _Cells:
+    """The transpose-product of one pair of item blocks, summed over slices."""
+
+    def __init__(self, width: int, same: bool):
+        self.width, self.same = width, same
+        self.flat: list[np.ndarray] = []
+        self.size = 0
+        self.sums: np.ndarray | None = None
+
+    def add(self, vi: np.ndarray, oi: np.ndarray, vj: np.ndarray, oj: np.ndarray) -> None:
+        """Add the products of slices in CSR form: values and offsets of both sides."""
+        ki, kj = np.diff(oi), np.diff(oj)
+        code = ki.astype(np.int64) << 32 | kj
+        for c in np.unique(code):
+            rows = np.flatnonzero(code == c)
+            a, b = int(c) >> 32, int(c) & 0xFFFFFFFF
+            if not a * b:
+                continue
+            if a * b * 64 > self.width * self.width:  # many cells a row: the dense product multiplies less
+                for at in range(0, len(rows), 1024):
+                    some = rows[at : at + 1024]
+                    self._dense(_gather(vi, oi, some, a), _gather(vj, oj, some, b))
+                continue
+            step = max(1, FLUSH // (a * b))
+            for at in range(0, len(rows), step):
+                x = _gather(vi, oi, rows[at : at + step], a).astype(np.int64) * self.width
+                if self.same:
+                    u, v = np.triu_indices(a, 1)
+                    cells = x[:, u] + x[:, v] // self.width
+                else:
+                    cells = x[:, :, None] + _gather(vj, oj, rows[at : at + step], b)[:, None, :]
+                self.flat.append(cells.ravel())
+                self.size += cells.size
+                if self.size >= FLUSH:
+                    self._fold()
+
+    def _dense(self, x: np.ndarray, y: np.ndarray) -> None:
+        n = np.arange(len(x))[:, None]
+        one, two = np.zeros((len(x), self.width), np.float32), np.zeros((len(x), self.width), np.float32)
+        one[n, x] = 1
+        two[n, y] = 1
+        self._fold()
+        if self.sums is None:
+            self.sums = np.zeros(self.width * self.width, np.int64)
+        self.sums += (one.T @ two).ravel().astype(np.int64)
+
+    def _fold(self) -> None:
+        if self.size:
+            if self.sums is None:
+                self.sums = np.zeros(self.width * self.width, np.int64)
+            self.sums += np.bincount(np.concatenate(self.flat), minlength=self.width * self.width)
+            self.flat, self.size = [], 0
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, n) within the blocks; i < j where both are one block."""
+        if self.sums is None:
+            at, n = np.unique(np.concatenate(self.flat), return_counts=True) if self.flat else (np.zeros(0, np.int64),) * 2
+        else:
+            self._fold()
+            at = np.flatnonzero(self.sums)
+            n = self.sums[at]
+        i, j = at // self.width, at % self.width
+        if self.same:
+            up = i < j
+            i, j, n = i[up], j[up], n[up]
+        return i, j, n
+
+
+def _gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The slices of ``rows``, all of ``k`` values, as a matrix."""
+    return values[offsets[rows][:, None] + np.arange(k)]
+
+
+def _block_product(width: int):
+    """(i, j, n) of runs of slices with one pair of blocks and one record block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, None
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def close() -> None:
+            nonlocal held
+            i, j, n = cell.done()
+            out.append((i + key[0] * width, j + key[1] * width, n))
+            held += len(n)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            i, j, n = (np.concatenate(c) for c in zip(*out))
+            for at in range(0, len(n), 500_000):
+                part = slice(at, at + 500_000)
+                yield pa.RecordBatch.from_arrays([pa.array(i[part]), pa.array(j[part]), pa.array(n[part].astype(np.int64))], names=["i", "j", "n"])
+            out.clear()
+            held = 0
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bi, bj, r = (b.column(c).to_numpy() for c in ("bi", "bj", "r"))
+            left, right = b.column("left"), b.column("right")
+            (vi, oi), (vj, oj) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (left, right))
+            cuts = np.r_[0, np.flatnonzero((bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]) | (r[1:] != r[:-1])) + 1, len(bi)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                now = (int(bi[s]), int(bj[s]), int(r[s]))
+                if now != key:
+                    if cell is not None:
+                        close()
+                        if held >= 100_000:
+                            yield from flush()
+                    key, cell = now, _Cells(width, now[0] == now[1])
+                mine = slice(s, e + 1)
+                cell.add(vi, oi[mine], *((vi, oi[mine]) if cell.same else (vj, oj[mine])))
+        if cell is not None:
+            close()
+            yield from flush()
+
+    return run
+
+
+def together(rows: DataFrame, basket: str, item: str, group: str, least: int = 4, lift: float = 4.0, block: int = BLOCK, entries: int = ENTRIES) -> DataFrame:
     """(group, item_a, item_b, n, count_a, count_b, total, lift) of items that go together.
 
     A pair of different items of one group comes out when it shares ``n >= least`` baskets
@@ -106,9 +159,12 @@ def together(rows: DataFrame, basket: str, item: str, group: str, least: int = 4
 
     An item in more than total / lift or in fewer than ``least`` baskets cannot be in a
     pair (n is at most the smaller count), so it is dropped before any product; this is
-    exact and removes hot items. Marginals ride along with the pairs, which are therefore
-    filtered right after they are summed, before anything is joined to them.
+    exact and removes hot items. A basket of k items in m blocks is sent as m * k entries,
+    not as k * k / 2 pairs. Block pairs with many entries are split into record blocks by
+    the hash of the basket, so a group or a block with a third of all rows is many tasks.
     """
+    spark = rows.sparkSession
+    parts = partitions(spark)
     src = rows.select(F.col(f"`{group}`").alias("g"), F.col(f"`{basket}`").alias("basket"), F.col(f"`{item}`").alias("item"))
     cells = Stored(src.dropna(how="any").distinct(), "cells")
     x = cells.read()
@@ -119,90 +175,40 @@ def together(rows: DataFrame, basket: str, item: str, group: str, least: int = 4
         .where(F.col("a") >= least)
         .join(totals, "g")
         .where(F.col("a") * F.lit(float(lift)) <= F.col("total"))
-        .withColumn("iid", F.monotonically_increasing_id())
-        .withColumn("k", key)
     )
-    items = Stored(items, "items")
-    left = x.withColumn("k", key).drop("g", "item")
-    kept = Stored(lookup(left, items.read().select("k", "g", "iid"), "k", "inner", hot_keys(left, "k")).select("g", "basket", "iid"), "kept")
-    b = kept.read()
-    sizes = b.groupBy("g", "basket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > wide)
-    # at most cells / wide of them; numbered within their group
-    wides = Stored(sizes.select("g", "basket", "k"), "wides")
-    n_wide = wides.count()
-
-    spark = rows.sparkSession
-    parts = partitions(spark)
-    if n_wide:
-        from pyspark.sql import Window
-
-        numbered = wides.read().withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy("basket")) - 1)
-        numbered = Stored(numbered.select("g", "basket", "w"), "wides-numbered")
-        tag = F.concat_ws("\x1f", "g", "basket")
-        wide_keys = numbered.read().select(tag.alias("t"), "w")
-        rows_b = b.withColumn("t", tag)
-        hot = hot_keys(rows_b, "t")
-        narrow = lookup(rows_b, wide_keys.select("t"), "t", "left_anti", hot).drop("t")
-        in_wide = lookup(rows_b, wide_keys, "t", "inner", hot).select("g", "iid", "w")
-        bits = in_wide.groupBy("iid").agg(F.sort_array(F.collect_list("w")).alias("wides"))
-        info = Stored(items.read().join(bits, "iid", "left").withColumn("wc", F.coalesce(F.size("wides"), F.lit(0))), "items-wide")
-    else:
-        narrow = b
-        info = Stored(items.read().withColumns({"wides": F.lit(None).cast("array<int>"), "wc": F.lit(0)}), "items-wide")
-
-    baskets = (
-        narrow.groupBy("g", "basket").agg(F.collect_list("iid").alias("ids")).where(F.size("ids") > 1)
-        .repartition(parts, "g", "basket").select("ids")
-    )
-    gram = baskets.mapInArrow(_sparse_block, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
-    if not n_wide:
-        gram = gram.where(F.col("n") >= least)
-    one = info.read().select(F.col("iid").alias("i"), F.col("a").alias("a_i"), "total", F.col("wc").alias("wc_i"), F.col("wides").alias("w_i"), F.col("g"), F.col("item").alias("x_i"))
-    two = info.read().select(F.col("iid").alias("j"), F.col("a").alias("a_j"), F.col("wc").alias("wc_j"), F.col("wides").alias("w_j"), F.col("item").alias("x_j"))
-    most = F.col("n") + F.least("wc_i", "wc_j")
-    bound = (most >= least) & (most * F.col("total") >= F.lit(float(lift)) * F.col("a_i") * F.col("a_j"))
-    if n_wide:
-        common = F.when(F.least("wc_i", "wc_j") > 0, F.size(F.array_intersect("w_i", "w_j"))).otherwise(0)
-    else:
-        common = F.lit(0)
-    exact = (F.col("n") >= least) & (F.col("n") * F.col("total") >= F.lit(float(lift)) * F.col("a_i") * F.col("a_j"))
-    found = gram.join(one, "i").join(two, "j").where(bound).withColumn("n", F.col("n") + common).where(exact)
-    cols = ["g", "x_i", "x_j", "n", "a_i", "a_j", "total"]
-    found = found.select(*cols)
-
-    if n_wide:
-        few = info.read().where(F.col("wc") >= least)
-        w = Window.partitionBy("g").orderBy("iid")
-        placed = few.select("g", "iid", "a", "total", "wides").withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int"))
-        placed = Stored(placed, "wide-items")
-        blocks = placed.read().groupBy("g").agg((F.max("block") + 1).alias("nb"))
-        pairs = (
-            placed.read().join(blocks, "g")
-            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("g", "iid", "a", "total", "wides", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
-        )
-        dense = pairs.groupBy("g", "bi", "bj").applyInPandas(_dense_block(least, lift), "i long, j long")
-        both = dense.join(one, "i").join(two, "j").withColumn("n", F.size(F.array_intersect("w_i", "w_j")).cast("long")).select(*cols)
-        # a cell that narrow baskets also touch is in both parts, there with the full count
-        found = found.unionByName(both).groupBy("g", "x_i", "x_j", "a_i", "a_j", "total").agg(F.max("n").alias("n"))
-
-    swap = F.col("x_i") > F.col("x_j")
-    return found.select(
-        F.col("g").alias("group"),
-        F.least("x_i", "x_j").alias("item_a"),
-        F.greatest("x_i", "x_j").alias("item_b"),
-        "n",
-        F.when(swap, F.col("a_j")).otherwise(F.col("a_i")).alias("count_a"),
-        F.when(swap, F.col("a_i")).otherwise(F.col("a_j")).alias("count_b"),
-        "total",
+    # numbers ascend with the name; a block is `block` numbers of one task, so a window of it is bounded
+    numbered = items.repartitionByRange(parts, "g", "item").sortWithinPartitions("g", "item").withColumn("iid", F.monotonically_increasing_id())
+    numbered = numbered.withColumns({"block": F.floor(F.col("iid") / block), "off": F.pmod("iid", F.lit(block)).cast("int"), "k": key})
+    held = F.sum("a").over(Window.partitionBy("block"))
+    info = Stored(numbered.withColumn("splits", F.ceil(held / entries)), "items")
+
+    left = x.withColumn("k", key).drop("item")
+    kept = lookup(left, info.read().select("k", "block", "off", "splits"), "k", "inner", hot_keys(left, "k"))
+    slices = kept.groupBy("g", "basket", "block").agg(F.sort_array(F.collect_list("off")).alias("offs"), F.first("splits").alias("splits"))
+    slices = Stored(slices.withColumn("h", F.xxhash64("g", "basket")), "slices")
+    s = slices.read()
+    one = s.where(F.size("offs") > 1).select(F.col("block").alias("bi"), F.col("block").alias("bj"), F.pmod("h", "splits").alias("r"), F.col("offs").alias("left"), F.array().cast("array<int>").alias("right"))
+    side = lambda n: s.select("g", "basket", F.col("block").alias(f"b{n}"), F.col("splits").alias(f"s{n}"), F.col("offs").alias(n), *(["h"] if n == "i" else []))
+    two = side("i").join(side("j"), ["g", "basket"]).where(F.col("bi") < F.col("bj"))
+    two = two.select("bi", "bj", F.pmod("h", F.least("si", "sj")).alias("r"), F.col("i").alias("left"), F.col("j").alias("right"))
+    met = one.unionByName(two).repartition(parts, "bi", "bj", "r").sortWithinPartitions("bi", "bj", "r")
+    gram = met.mapInArrow(_block_product(block), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+    # counts against what the marginals let expect
+    known = info.read()
+    one = known.select(F.col("iid").alias("i"), F.col("a").alias("a_i"), "total", "g", F.col("item").alias("x_i"))
+    two = known.select(F.col("iid").alias("j"), F.col("a").alias("a_j"), F.col("item").alias("x_j"))
+    enough = F.col("n") * F.col("total") >= F.lit(float(lift)) * F.col("a_i") * F.col("a_j")
+    return gram.join(one, "i").join(two, "j").where(enough).select(
+        F.col("g").alias("group"), F.col("x_i").alias("item_a"), F.col("x_j").alias("item_b"), "n", F.col("a_i").alias("count_a"), F.col("a_j").alias("count_b"), "total",
         (F.col("n") * F.col("total") / (F.col("a_i") * F.col("a_j"))).alias("lift"),
-    )
+    )
 
 
-def files_together(file_changes: DataFrame, least: int = 4, lift: float = 4.0, wide: int = WIDE) -> DataFrame:
+def files_together(file_changes: DataFrame, least: int = 4, lift: float = 4.0) -> DataFrame:
     """``together`` for the paths of each project that change in the same commits.
 
     The project is the path's text before its first slash; paths without one are left out.
     """
     rows = file_changes.where(F.col("file_path").contains("/")).select("commit_hash", "file_path", F.substring_index("file_path", "/", 1).alias("project"))
-    return together(rows, "commit_hash", "file_path", "project", least, lift, wide)
+    return together(rows, "commit_hash", "file_path", "project", least, lift)

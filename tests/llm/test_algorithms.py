@@ -22,9 +22,10 @@ def brute_pairs(rows, least, lift):
     return {(g, a, b, n) for (g, a, b), n in n2.items() if n >= least and n * total[g] >= lift * n1[g, a] * n1[g, b]}
 
 
-@pytest.mark.parametrize("wide", [2, 5, 256])
-def test_together_against_brute_force(spark, wide):
-    r = random.Random(wide)
+@pytest.mark.parametrize("block, entries", [(4, 7), (16, 50), (2048, 2_000_000)])
+def test_together_against_brute_force(spark, block, entries):
+    """Any width of item blocks and any size of record blocks sum to the same Gram matrix."""
+    r = random.Random(block)
     rows = []
     for b in range(120):
         g = "ab"[b % 2]
@@ -32,11 +33,27 @@ def test_together_against_brute_force(spark, wide):
         rows += [(g, f"c{b}", f"i{(r.randrange(6) * 5 + j) % 30:02}") for j in range(k)]
     rows += [("a", f"c{b}", f"w{j}") for b in range(300, 306) for j in range(12)] + [("a", "c1", None), (None, "c1", "x"), rows[0]]
     df = spark.createDataFrame([(*x, 1) for x in rows], "grp string, bas string, itm string, n int")
-    got = {(x["group"], x["item_a"], x["item_b"], x["n"]) for x in cooccurrence.together(df, "bas", "itm", "grp", 3, 2.0, wide).collect()}
+    got = {(x["group"], x["item_a"], x["item_b"], x["n"]) for x in cooccurrence.together(df, "bas", "itm", "grp", 3, 2.0, block, entries).collect()}
     assert got == brute_pairs(rows, 3, 2.0) and got
     assert cooccurrence.together(df.limit(0), "bas", "itm", "grp").collect() == []
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_dense_and_sparse_block_products_agree(same):
+    """Full slices (dense product) and thin ones (expanded) sum up to X'X."""
+    rng, w = np.random.default_rng(3), 32
+    x = (rng.random((40, w)) < np.where(np.arange(40) % 2, 0.9, 0.06)[:, None]).astype(np.int64)
+    y = x if same else (rng.random((40, w)) < 0.5).astype(np.int64)
+    csr = lambda m: (np.concatenate([np.flatnonzero(v) for v in m]), np.r_[0, np.cumsum(m.sum(axis=1))])
+    cell = cooccurrence._Cells(w, same)
+    cell.add(*csr(x), *csr(y))
+    i, j, n = cell.done()
+    want = np.triu(x.T @ x, 1) if same else x.T @ y
+    got = np.zeros((w, w), np.int64)
+    got[i, j] = n
+    assert (got == want).all()
+
+
 # ---------------------------------------------------------------- 3: provenance
 
 
