@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from strataline.llm import doc_pairs, leaks, lookalikes, mixing
@@ -70,13 +71,24 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(d.limit(0), q, length=7).collect() == [] and leaks.leaks(d, q.limit(0), length=7).collect() == []
 
 
-def test_leaks_in_several_passes_and_near(spark, monkeypatch):
+def test_one_index_answers_several_sets_and_near_matches(spark):
     phrase = " ".join(f"w{i}" for i in range(20))
-    d = spark.createDataFrame([(1, phrase), (2, phrase.replace("w5 ", "w5 uh "))], "doc_id long, text string")
+    d = spark.createDataFrame([(1, phrase), (2, phrase.replace("w5 ", "w5 uh ")), (2, "another text " * 30)], "doc_id long, text string")
     q = spark.createDataFrame([(i, phrase, None) for i in range(3)], "item_id long, intent string, expected string")
-    monkeypatch.setattr(leaks, "PASS_CHARS", 60)
-    assert leaks.leaks(d, q, length=18).count() == 3
-    assert leaks.leaks(d, q, length=18, slop=1).count() == 6
+    index = leaks.Index(d, segment_words=8)
+    assert index.read().where("term IS NULL").count() > 1
+    assert {(r["term"], r["df"]) for r in index.frequencies(spark.createDataFrame([("w5",), ("text",), ("absent",)], "term string")).collect()} == {("w5", 2), ("text", 1)}
+    assert leaks.leaks(index, q, length=18).count() == 3
+    assert leaks.leaks(index, q, length=18, slop=1).count() == 6
+    other = spark.createDataFrame([(9, " ".join(["another", "text"] * 9), None)], "item_id long, intent string, expected string")
+    assert [tuple(r)[:3] for r in leaks.leaks(index, other, length=18).collect()] == [(2, 9, 18)]
+
+
+def test_near_tries_every_occurrence():
+    at = lambda *p: np.array(p, np.int64)
+    assert leaks._near([at(0), at(1, 3), at(6)], 0, 0, 2) == 3  # a b x b x x c: the second b leads on
+    assert leaks._near([at(0), at(1, 3), at(6)], 2, 6, 2) == 3
+    assert leaks._near([at(0), at(1), at(6)], 0, 0, 2) == 2
 
 
 # ---------------------------------------------------------------- 9: mixing
