@@ -43,3 +43,21 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     warm = tagged.where(F.col("__hot")).drop("__hot").join(few, key, how)
     return cold.unionByName(warm)
+
+
+def pairs_within(rows: DataFrame, key: str) -> DataFrame:
+    """All ordered pairs of rows with one ``key``: (key, every other column as c_a and as c_b).
+
+    A row is paired with itself too. Of a hot key one side is spread over all tasks by its
+    hash and the other side is sent to each, so no task makes all pairs of the key. Null
+    keys have no pairs.
+    """
+    most = partitions(rows.sparkSession)
+    others = [c for c in rows.columns if c != key]
+    hot = F.broadcast(hot_keys(rows, key).withColumn("__hot", F.lit(True)))
+    tagged = rows.join(hot, key, "left")
+    is_hot = F.col("__hot").isNotNull()
+    a = tagged.withColumn("__at", F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(most)).cast("int")).otherwise(0)).drop("__hot")
+    spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(most - 1))).otherwise(F.array(F.lit(0)))
+    b = tagged.withColumn("__at", F.explode(spread)).drop("__hot")
+    return a.withColumnsRenamed({c: f"{c}_a" for c in others}).join(b.withColumnsRenamed({c: f"{c}_b" for c in others}), [key, "__at"]).drop("__at")
