@@ -156,5 +156,27 @@ def test_trie_costs():
     t = lookalikes.Trie()
     for w, n in [("cop", 3), ("сор", 9), ("file", 1)]:
         t.add(w, n)
-    assert t.search("соp") == (0.0, "cop") and t.search("ﬁle") == (0.0, "file") and t.search("ｆ\u00adile") == (0.0, "file")
-    assert t.search("fole") is None and t.search("fole", 1.0) == (1.0, "file") and t.search("fil", 1.0) == (1.0, "file") and t.search("ffile", 1.0) == (1.0, "file")
+    hit = lambda *a: [(c, r[2]) for c, r in t.search(*a)]
+    assert hit("соp") == [(0.0, "cop")] and hit("ﬁle") == [(0.0, "file")] and hit("ｆ\u00adile") == [(0.0, "file")]
+    assert hit("fole") == [] and hit("fole", 1.0) == [(1.0, "file")] and hit("fil", 1.0) == [(1.0, "file")] and hit("ffile", 1.0) == [(1.0, "file")]
+    assert hit("fжle", 0.5) == [(0.4, "file")] and hit("fжlж", 0.5) == [] and hit("жop", 0.5) == []  # one unknown letter, of a word long enough
+
+
+def test_unknown_foreign_letters_are_matched_at_a_cost(spark, monkeypatch):
+    """The table alone leaves these tokens; the automaton finds the one word they can stand for."""
+    texts = ["commit window commit", "сommфt", "windжw", "wiΔdow winθow", "mint tint", "ҧint", "слово", "словq", "Ωmega"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {"сommфt": "commit", "windжw": "window", "wiΔdow": "window", "winθow": "window", "ҧint": "ҧint", "слово": "слово", "Ωmega": "Ωmega"}
+    for size in (50_000, 1):  # whole blocks, and every word in a part of its own
+        monkeypatch.setattr(lookalikes, "BLOCK_WORDS", size)
+        got = {r["token"]: r["canonical"] for r in lookalikes.spellings(df).collect()}
+        assert {t: got[t] for t in want} == want
+
+
+def test_a_form_with_most_texts_is_paired_in_parts(spark, monkeypatch):
+    from strataline.operators import skew
+
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (10,))
+    rows = [(i, "same words here" if i % 2 else "sаme words here") for i in range(30)] + [(50, "once")]
+    got = {tuple(x) for x in lookalikes.same_look(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(a, b) for a in range(30) for b in range(a + 1, 30) if (a + b) % 2}
