@@ -2,8 +2,7 @@
 
 Every identity is exploded into the forms its name and address can be rewritten to; equal
 forms are joined. Forms that name one entity by themselves join identities directly; forms
-that several entities may share count by their rarity: they join only where one single
-entity owns them.
+that several entities may share are scored by their rarity, summed over all forms shared.
 """
 
 from __future__ import annotations
@@ -17,27 +16,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.operators.skew import hot_keys, lookup
+from strataline.operators.skew import hot_keys, lookup, pairs_within
 from strataline.session import Stored
 
-# Short forms of given names and the names they stand for
+# Short forms of given names and all names each may stand for
 NICKNAMES = {
-    "abby": "abigail", "al": "albert", "alex": "alexander", "andy": "andrew", "becky": "rebecca", "bella": "isabella", "ben": "benjamin",
-    "bert": "albert", "bill": "william", "bob": "robert", "cathy": "catherine", "charlie": "charles", "chris": "christopher", "chuck": "charles",
-    "dan": "daniel", "dave": "david", "deb": "deborah", "dick": "richard", "dima": "dmitri", "don": "donald", "ed": "edward",
-    "ellie": "eleanor", "fred": "frederick", "fritz": "frederick", "gabi": "gabriella", "greg": "gregory", "hank": "henry", "jack": "john",
-    "jake": "jacob", "jeff": "jeffrey", "jen": "jennifer", "jim": "james", "jo": "josephine", "joe": "joseph", "jon": "jonathan", "kate": "katherine",
-    "ken": "kenneth", "larry": "lawrence", "leo": "leonardo", "liz": "elizabeth", "lou": "louis", "maggie": "margaret", "matt": "matthew",
-    "matze": "matthias", "max": "maximilian", "meg": "margaret", "mike": "michael", "nate": "nathaniel", "nick": "nicholas", "nico": "dominic",
-    "paca": "francisca", "pat": "patricia", "peggy": "margaret", "pepe": "jose", "pete": "peter", "phil": "philip", "priya": "priyanka",
-    "ray": "raymond", "rick": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel", "sasha": "alexander", "seun": "oluwaseun",
-    "steve": "steven", "sue": "susan", "ted": "theodore", "tim": "timothy", "tobi": "tobias", "tom": "thomas", "toni": "antonia",
-    "tony": "anthony", "vicky": "victoria", "walt": "walter", "will": "william", "zach": "zachary",
+    "abby": "abigail", "al": "alan albert alexander alfred", "alex": "alexander alexandra alexis", "andy": "andrew", "becky": "rebecca", "bella": "isabella", "ben": "benjamin",
+    "bert": "albert robert", "bill": "william", "bob": "robert", "cathy": "catherine", "charlie": "charles charlotte", "chris": "christopher christian christina christine", "chuck": "charles",
+    "dan": "daniel", "dave": "david", "deb": "deborah", "dick": "richard", "dima": "dmitri", "don": "donald", "ed": "edward edgar edwin",
+    "ellie": "eleanor", "fred": "frederick alfred", "fritz": "frederick", "gabi": "gabriella", "greg": "gregory", "hank": "henry", "jack": "john",
+    "jake": "jacob", "jeff": "jeffrey", "jen": "jennifer", "jim": "james", "jo": "josephine joanna", "joe": "joseph", "jon": "jonathan", "kate": "katherine",
+    "ken": "kenneth", "larry": "lawrence", "leo": "leonardo leonard leopold", "liz": "elizabeth", "lou": "louis louise", "maggie": "margaret", "matt": "matthew",
+    "matze": "matthias", "max": "maximilian maxwell", "meg": "margaret", "mike": "michael", "nate": "nathaniel nathan", "nick": "nicholas nicolas", "nico": "dominic nicholas",
+    "paca": "francisca", "pat": "patricia patrick", "peggy": "margaret", "pepe": "jose", "pete": "peter", "phil": "philip", "priya": "priya priyanka",
+    "ray": "raymond", "rick": "richard patrick", "rob": "robert", "ron": "ronald", "sam": "samuel samantha", "sasha": "alexander alexandra", "seun": "oluwaseun",
+    "steve": "steven stephen", "sue": "susan", "ted": "theodore edward", "tim": "timothy", "tobi": "tobias", "tom": "thomas", "toni": "antonia",
+    "tony": "anthony antonio", "vicky": "victoria", "walt": "walter", "will": "william", "zach": "zachary",
 }
 # Legal forms and words around an organisation's name
 LEGAL = frozenset("inc incorporated ltd limited llc llp lp gmbh ag kg ug se sa sas sarl srl spa bv nv oy ab as aps plc corp corporation co company pty pte kk eu".split())
 AROUND = frozenset("the team teams department dept group".split())
 
+#: A short form's score from which it joins: the sum of the rarities of all forms shared.
+LEAST = 1.0
 #: Two clusters with full names are taken for one if their names differ by this many edits at most.
 EDITS = 2
 
@@ -60,8 +61,15 @@ def tokens(name: str) -> list[str]:
     return core if core else words
 
 
+def long_names(given: str) -> list[str]:
+    """All names a given name may stand for; itself if it is no short form."""
+    return NICKNAMES.get(given, given).split()
+
+
 def formal(given: str) -> str:
-    return NICKNAMES.get(given, given)
+    """A given name written out if there is one way to do so, else as it is."""
+    some = long_names(given)
+    return some[0] if len(some) == 1 else given
 
 
 def pair(a: str, b: str) -> str:
@@ -104,9 +112,9 @@ def forms(name: str, address: str) -> list[tuple[str, str]]:
     """(kind, form) of all rewritings of one identity.
 
     ``same``: names one entity; ``own``: a short form that a full name can be written as;
-    ``claim``: a short form that is all this identity shows; ``near``: a full name with up
-    to one letter left out of one of its parts; ``mail``: the address, ``mine`` before it if
-    the name occurs in it, ``other`` if the name contradicts it.
+    ``claim``: a short form that is all this identity shows; ``short``: a full name that a
+    short given name may stand for beside others; ``mail``: the address, ``mine`` before it
+    if the name occurs in it, ``other`` if the name contradicts it; ``full``: the full name.
     """
     toks = tokens(name)
     run, parts = local_part(address)
@@ -118,15 +126,18 @@ def forms(name: str, address: str) -> list[tuple[str, str]]:
     for p in filter(None, (full, by_mail)):
         out.add(("same", "p:" + pair(*p)))
         for g, s in (p, p[::-1]):
+            if len(long_names(g)) > 1:
+                out |= {("short", "p:" + pair(x, s)) for x in long_names(g) if x != g}
             g = formal(g)
             out |= {("own", "l:" + x) for x in (g[0] + s, s + g[0])}
             out.add(("own", f"i:{g[0]}|{s}"))
-            out |= {("near", f"n:{pair(g, x)}") for x in _shorter(s)}
             out.add(("own", "l:" + g + s))
     if full and len(toks) > 2:
         out.add(("own", "l:" + "".join(toks)))
     if len(toks) == 1 and toks[0]:
         out.add(("claim", "l:" + toks[0]))
+        if any(w.replace(".", "") in LEGAL for w in re.findall(r"[\w.]+", fold(name))):
+            out.add(("same", "o:" + toks[0]))  # an organisation, whatever its legal form
     if toks and not full and len(toks) >= 2:
         a, b = toks[0], toks[-1]
         out.add(("claim", f"i:{a}|{b}" if len(a) == 1 else f"i:{b}|{a}"))
@@ -143,6 +154,18 @@ def forms(name: str, address: str) -> list[tuple[str, str]]:
     return sorted(out)
 
 
+def _near_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(full, form): each full name with up to one letter left out of one of its parts."""
+    for b in batches:
+        out = set()
+        for full in b.column(0).to_pylist():
+            x, y = full.split("|")
+            for g, s in ((x, y), (y, x)):
+                out |= {(full, "|".join(sorted((g, z)))) for z in _shorter(s)}
+        cols = list(zip(*out)) if out else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["full", "form"])
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, kinds, fs = [], [], []
@@ -194,17 +217,22 @@ def entities(rows: DataFrame, name: str = "author_name", address: str = "author_
     ``rows`` needs a name and an address column; others are not read; rows with a null in
     either are left out, repeated rows count once, an empty table gives none. An empty name
     is a name like any other that shows nothing by itself. ``entity`` is a number common to
-    all identities of one person or organisation; ``score`` is 1 for identities joined by
-    forms that name one entity and the rarity (1 / number of owners) otherwise.
+    all identities of one person or organisation; ``score`` is the best score of the links
+    below that joined the identity's cluster to others (1 where there is none).
 
     1. Names, written-out addresses and personal addresses join identities. An address is
        personal if some name on it occurs in it; a shared mailbox joins nothing, and a name
        that contradicts a personal address is not joined by it.
-    2. A cluster without a full name joins the one cluster that owns its short form. Where
-       several own it, it is too common to tell and joins none.
+    2. A cluster without a full name claims its short forms, one with an ambiguous short
+       given name the full names it may stand for. The rarity of a form is 1 / the number
+       of clusters that own it; the score of a claim on a cluster is the sum over all forms
+       they share. A claim of at least LEAST joins if it shares a form that nobody else
+       owns, or if it is the best one of its cluster.
     3. Clusters with full names join if one name misses or mistypes letters of the other:
        they share a form with a letter left out, and are within EDITS edits. Not so if both
        differing parts are names in their own right, i.e. occur beside three other names.
+       All pairs of names of a form are compared: a form has at most as many names as there
+       are letters to put in. The score is 1 / the number of other names of the rarest form.
     """
     ids = Stored(identities(rows, name, address).withColumn("id", F.monotonically_increasing_id()), "identities")
     fs = Stored(ids.read().select("id", "name", "address").mapInArrow(_explode, "id long, kind string, form string"), "name-forms")
@@ -217,35 +245,48 @@ def entities(rows: DataFrame, name: str = "author_name", address: str = "author_
     c = first.read().select("id", "label")
     tagged = f.join(c, "id")
     has_full = tagged.where(F.col("kind") == "full").select("label").distinct()
-    owners = tagged.where(F.col("kind") == "own").groupBy("form").agg(F.count_distinct("label").alias("owners"), F.min("label").alias("owner"))
-    claims = tagged.where(F.col("kind") == "claim").select("label", "form").distinct().join(has_full, "label", "left_anti")
-    weak = claims.join(owners.where(F.col("owners") == 1), "form").select("label", F.col("owner").alias("other"), (1 / F.col("owners")).alias("score"))
+    owned = Stored(tagged.where(F.col("kind").isin("own", "same")).select("label", "form").distinct(), "owned").read()
+    claimed = tagged.where(F.col("kind") == "claim").select("label", "form").distinct().join(has_full, "label", "left_anti")
+    claimed = Stored(claimed.unionByName(tagged.where(F.col("kind") == "short").select("label", "form")).distinct(), "claimed").read()
+    owners = owned.join(claimed.select("form").distinct(), "form", "left_semi").groupBy("form").agg(F.count(F.lit(1)).alias("owners"))
+    rated = Stored(lookup(claimed, owners, "form", "inner", hot_keys(claimed, "form")), "rated").read()
+    # a sum of m rarities reaches LEAST only if one of the forms has at most m / LEAST owners: only those are expanded
+    enough = rated.groupBy("label").agg((F.count(F.lit(1)) / LEAST).alias("m"))
+    rare = rated.join(enough, "label").where(F.col("owners") <= F.col("m")).select("label", "form")
+    cand = rare.join(owned.withColumnRenamed("label", "other"), "form").where(F.col("label") != F.col("other")).select("label", "other").distinct()
+    shared = cand.join(rated, "label").join(owned.withColumnRenamed("label", "other"), ["other", "form"], "left_semi")
+    scored = shared.groupBy("label", "other").agg(F.sum(1 / F.col("owners")).alias("score"), F.min("owners").alias("fewest")).where(F.col("score") >= LEAST - 1e-9)
+    best = scored.groupBy("label").agg(F.max("score").alias("top"))
+    firsts = scored.join(best, "label").where(F.col("score") > F.col("top") - 1e-9).groupBy("label").agg(F.count(F.lit(1)).alias("ties"), F.max("top").alias("top"))
+    weak = scored.join(firsts, "label").where((F.col("fewest") == 1) | ((F.col("ties") == 1) & (F.col("score") > F.col("top") - 1e-9))).select("label", "other", "score")
 
     # mistyped names: the pairs of full names that share a shortened form
-    fulls = tagged.where(F.col("kind") == "full").select("label", F.col("form").alias("full")).distinct()
-    near = tagged.where(F.col("kind") == "near").select("label", "form").distinct()
+    fulls = tagged.where(F.col("kind") == "full").groupBy(F.col("form").alias("full")).agg(F.min("label").alias("label"))
+    fulls = Stored(fulls, "full-names").read()
     split = F.split("full", r"\|")
     used = fulls.select(F.explode(F.arrays_zip(split.alias("a"), F.reverse(split).alias("b"))).alias("x")).groupBy(F.col("x.a").alias("part")).agg(F.count_distinct("x.b").alias("n"))
     own_right = used.where(F.col("n") >= 3).select("part")
-    # each form's clusters are chained to the least of them, not paired among themselves
-    star = near.groupBy("form").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") < F.col("most"))
-    cand = near.join(star.select("form", "least"), "form").where(F.col("label") != F.col("least")).select("label", F.col("least").alias("other")).distinct()
-    both = cand.join(fulls, "label").join(fulls.select(F.col("label").alias("other"), F.col("full").alias("full2")), "other").where(F.col("full") != F.col("full2"))
-    schema = "label long, other long, x string, y string"
-    differing = both.select("label", "other", "full", "full2").mapInArrow(_differ, schema)
+    near = Stored(fulls.select("full").mapInArrow(_near_forms, "full string, form string"), "near-forms").read()
+    near = near.join(near.groupBy("form").agg((F.count(F.lit(1)) - 1).alias("others")).where(F.col("others") > 0), "form")
+    met = near.join(near.select("form", F.col("full").alias("full2")), "form").where(F.col("full") < F.col("full2"))
+    cand = met.groupBy("full", "full2").agg(F.max(1 / F.col("others")).alias("score"))
+    both = cand.join(fulls, "full").join(fulls.select(F.col("label").alias("other"), F.col("full").alias("full2")), "full2")
+    schema = "label long, other long, score double, x string, y string"
+    differing = both.select("label", "other", "score", "full", "full2").mapInArrow(_differ, schema)
     ok = (
         differing.join(own_right.select(F.col("part").alias("x"), F.lit(True).alias("rx")), "x", "left")
         .join(own_right.select(F.col("part").alias("y"), F.lit(True).alias("ry")), "y", "left")
         .where(F.col("rx").isNull() | F.col("ry").isNull())
     )
-    typos = ok.select("label", "other", F.lit(1.0).alias("score"))
-    more = Stored(weak.unionByName(typos).where(F.col("label") != F.col("other")).distinct(), "weak-links")
+    typos = ok.select("label", "other", "score")
+    more = Stored(weak.unionByName(typos).where(F.col("label") != F.col("other")), "weak-links")
     pairs = more.read().select("label", "other", F.concat_ws("~", "label", "other").alias("form"))
     links2 = pairs.select(F.col("label").alias("id"), "form").unionByName(pairs.select(F.col("other").alias("id"), "form"))
     labels = c.select(F.col("label").alias("id")).distinct().withColumn("label", F.col("id"))
     second = components(links2, labels)
     last = second.read().select(F.col("id").alias("label"), F.col("label").alias("entity"))
-    score = more.read().groupBy("label").agg(F.max("score").alias("score"))
+    ends = more.read().select(F.explode(F.array("label", "other")).alias("label"), "score")
+    score = ends.groupBy("label").agg(F.max("score").alias("score"))
     return (
         ids.read().select("id", "identity").join(c, "id").join(last, "label").join(score, "label", "left")
         .select("identity", "entity", F.coalesce("score", F.lit(1.0)).alias("score"))
@@ -253,21 +294,20 @@ def entities(rows: DataFrame, name: str = "author_name", address: str = "author_
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, other, x, y) where the full names agree in one part and differ little in the other (x, y)."""
+    """(label, other, score, x, y) where the full names agree in one part and differ little in the other (x, y)."""
     for b in batches:
         out = []
-        for label, other, a, z in zip(*(c.to_pylist() for c in b.columns)):
+        for label, other, score, a, z in zip(*(c.to_pylist() for c in b.columns)):
             for p in (a.split("|"), a.split("|")[::-1]):
                 for q in (z.split("|"), z.split("|")[::-1]):
                     if p[0] == q[0] and p[1] != q[1] and edits(p[1], q[1]) <= min(EDITS, max(1, min(len(p[1]), len(q[1])) // 3)):
-                        out.append((label, other, p[1], q[1]))
-        cols = list(zip(*set(out))) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["label", "other", "x", "y"])
+                        out.append((label, other, score, p[1], q[1]))
+        cols = list(zip(*set(out))) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["label", "other", "score", "x", "y"])
 
 
 def same_entity(rows: DataFrame, name: str = "author_name", address: str = "author_email") -> DataFrame:
     """(identity_a, identity_b): pairs of different identities of one entity, the smaller first."""
     e = Stored(entities(rows, name, address).select("identity", "entity"), "entities")
-    a = e.read().select(F.col("identity").alias("identity_a"), "entity")
-    b = e.read().select(F.col("identity").alias("identity_b"), "entity")
-    return a.join(b, "entity").where(F.col("identity_a") < F.col("identity_b")).select("identity_a", "identity_b")
+    return pairs_within(e.read(), "entity").where(F.col("identity_a") < F.col("identity_b")).select("identity_a", "identity_b")

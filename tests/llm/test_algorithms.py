@@ -104,6 +104,35 @@ def test_entities(spark):
     assert names.same_entity(df.limit(0)).collect() == []
 
 
+def clusters(spark, people):
+    df = spark.createDataFrame(people, "author_name string, author_email string")
+    out = {}
+    for r in names.entities(df).collect():
+        out.setdefault(r["entity"], {})[r["identity"].partition(" <")[0]] = r["score"]
+    return out.values()
+
+
+def test_rarity_decides_between_owners_of_short_forms(spark):
+    people = [("John Doe", "jd1@a.example"), ("Jane Doe", "jd2@b.example"), ("John Davis", "jd3@c.example"), ("jdoe", "johnd@d.example"), ("Jill Ray", "q1@a.example"), ("jray", "jray@d.example"), ("June Poe", "q2@x.example"), ("Jana Poe", "q3@y.example"), ("jpoe", "jpoe@z.example")]
+    got = {frozenset(c): max(c.values()) for c in clusters(spark, people)}
+    assert got[frozenset({"John Doe", "jdoe"})] == 1.0  # half of each of two forms
+    assert frozenset({"Jill Ray", "jray"}) in got
+    assert frozenset({"jpoe"}) in got  # two owners of all it shows
+
+
+def test_ambiguous_short_names_join_the_one_name_there_is(spark):
+    people = [("Alex Stone", "a1@a.example"), ("Alexandra Stone", "a2@b.example"), ("Alex Gray", "b1@a.example"), ("Alexander Gray", "b2@b.example"), ("Alexandra Gray", "b3@c.example"), ("Bob Hill", "c1@a.example"), ("Robert Hill", "c2@b.example"), ("Acme Inc.", "x@acme.example"), ("ACME GmbH", "y@acme-eu.example")]
+    got = {frozenset(c) for c in clusters(spark, people)}
+    assert got == {frozenset(x) for x in [("Alex Stone", "Alexandra Stone"), ("Alex Gray",), ("Alexander Gray",), ("Alexandra Gray",), ("Bob Hill", "Robert Hill"), ("Acme Inc.", "ACME GmbH")]}
+
+
+def test_all_mistyped_names_of_a_form_are_compared(spark):
+    """csmit is least by the alphabet and no typo of the others; smith and smitt still meet."""
+    people = [("Vera Csmit", "p1@a.example"), ("Vera Smith", "p2@b.example"), ("Vera Smitt", "p3@c.example")]
+    got = {frozenset(c): min(c.values()) for c in clusters(spark, people)}
+    assert got == {frozenset({"Vera Csmit"}): 1.0, frozenset({"Vera Smith", "Vera Smitt"}): 0.5}
+
+
 def test_edits():
     assert names.edits("abc", "acb") == 1 and names.edits("abc", "abc") == 0 and names.edits("", "ab") == 2 and names.edits("kitten", "sitting") == 3
 
