@@ -66,6 +66,18 @@ def long_names(given: str) -> list[str]:
     return NICKNAMES.get(given, given).split()
 
 
+#: The ambiguous short forms of a name.
+SHORT_NAMES: dict[str, list[str]] = {}
+for _short in NICKNAMES:
+    if len(long_names(_short)) > 1:
+        for _long in long_names(_short):
+            if _long != _short:
+                SHORT_NAMES.setdefault(_long, []).append(_short)
+
+
+_KNOWN = frozenset(x for v in NICKNAMES.values() for x in v.split())
+
+
 def formal(given: str) -> str:
     """A given name written out if there is one way to do so, else as it is."""
     some = long_names(given)
@@ -112,8 +124,8 @@ def forms(name: str, address: str) -> list[tuple[str, str]]:
     """(kind, form) of all rewritings of one identity.
 
     ``same``: names one entity; ``own``: a short form that a full name can be written as;
-    ``claim``: a short form that is all this identity shows; ``short``: a full name that a
-    short given name may stand for beside others; ``mail``: the address, ``mine`` before it
+    ``claim``: a short form that is all this identity shows; ``short``: a full name
+    with a short given name that may stand for several; ``mail``: the address, ``mine`` before it
     if the name occurs in it, ``other`` if the name contradicts it; ``full``: the full name.
     """
     toks = tokens(name)
@@ -127,8 +139,9 @@ def forms(name: str, address: str) -> list[tuple[str, str]]:
         out.add(("same", "p:" + pair(*p)))
         for g, s in (p, p[::-1]):
             if len(long_names(g)) > 1:
-                out |= {("short", "p:" + pair(x, s)) for x in long_names(g) if x != g}
+                out.add(("short", f"s:{g}|{s}"))
             g = formal(g)
+            out |= {("own", f"s:{x}|{s}") for x in SHORT_NAMES.get(g, ())}
             out |= {("own", "l:" + x) for x in (g[0] + s, s + g[0])}
             out.add(("own", f"i:{g[0]}|{s}"))
             out.add(("own", "l:" + g + s))
@@ -224,13 +237,13 @@ def entities(rows: DataFrame, name: str = "author_name", address: str = "author_
        personal if some name on it occurs in it; a shared mailbox joins nothing, and a name
        that contradicts a personal address is not joined by it.
     2. A cluster without a full name claims its short forms, one with an ambiguous short
-       given name the full names it may stand for. The rarity of a form is 1 / the number
+       given name that name, which all clusters own that can be shortened to it. The rarity of a form is 1 / the number
        of clusters that own it; the score of a claim on a cluster is the sum over all forms
        they share. A claim of at least LEAST joins if it shares a form that nobody else
        owns, or if it is the best one of its cluster.
     3. Clusters with full names join if one name misses or mistypes letters of the other:
        they share a form with a letter left out, and are within EDITS edits. Not so if both
-       differing parts are names in their own right, i.e. occur beside three other names.
+       differing parts are names in their own right, i.e. known given names or beside three other names.
        All pairs of names of a form are compared: a form has at most as many names as there
        are letters to put in. The score is 1 / the number of other names of the rarest form.
     """
@@ -300,7 +313,7 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, other, score, a, z in zip(*(c.to_pylist() for c in b.columns)):
             for p in (a.split("|"), a.split("|")[::-1]):
                 for q in (z.split("|"), z.split("|")[::-1]):
-                    if p[0] == q[0] and p[1] != q[1] and edits(p[1], q[1]) <= min(EDITS, max(1, min(len(p[1]), len(q[1])) // 3)):
+                    if p[0] == q[0] and p[1] != q[1] and not {p[1], q[1]} <= _KNOWN and edits(p[1], q[1]) <= min(EDITS, max(1, min(len(p[1]), len(q[1])) // 3)):
                         out.append((label, other, score, p[1], q[1]))
         cols = list(zip(*set(out))) if out else [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.string())
