@@ -1,7 +1,8 @@
 """Functions paired with their documentation (problem 1).
 
-Comment, signature and balanced body are captured together by recursive patterns of the
-``regex`` library. Strings and comments inside a body are consumed as units, so braces and
+Comment, signature and balanced body are captured together from the source texts by recursive
+patterns of the ``regex`` library; symbols whose source text is not at hand, or does not
+reach as far as the symbol, are taken from their stored columns. Strings and comments inside a body are consumed as units, so braces and
 quotes within them do not unbalance it; all repetitions are possessive, so a match takes
 time linear in the text and very long texts do not backtrack.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 _DEFINE = r"""
 (?(DEFINE)
-  (?P<str> "(?:[^"\\\n]++|\\.)*+" | '(?:[^'\\\n]++|\\.)*+' | `(?:[^`\\]++|\\.)*+` )
+  (?P<str> "(?:[^"\\\n]++|\\.)*+" | QUOTED | `(?:[^`\\]++|\\.)*+` )
   (?P<tri> \"{3}(?:[^"\\]++|\\.|"(?!""))*+\"{3} | '{3}(?:[^'\\]++|\\.|'(?!''))*+'{3} )
   (?P<blk> /\*(?:[^*]++|\*(?!/))*+\*/ )
   (?P<lin> //[^\n]*+ )
@@ -29,6 +30,9 @@ _DEFINE = r"""
   (?P<cur> \{ (?:[^{}"'`/]++|(?&str)|(?&blk)|(?&lin)|(?&cur)|['"`/])*+ \} )
 )
 """
+_STRING = r"'(?:[^'\\\n]++|\\.)*+'"
+#: One character in quotes; a single quote without its other one is a lifetime, not a string.
+_CHARACTER = r"'(?:[^'\\\n]|\\[^\n']{1,10})'"
 
 _LEAD = r"""
 (?P<doc> [ \t]*+ (?&blk) [ \t]*+ \n | (?: [ \t]*+ //[^\n]*+ \n )++ ) (*SKIP)
@@ -41,24 +45,27 @@ _FLAGS = regex.V1 | regex.VERBOSE | regex.MULTILINE | regex.DOTALL
 # Words that open a statement, not a function
 _NOT_NAMES = "if|for|while|switch|catch|return|else|do|try|with|new|typeof|await|throw|match|loop|select|case|super"
 
+_TYPE = r"(?: [ \t]*+ : [ \t]*+ (?: [\w$.|& \t]++ | (?&ang) | (?&sq) | (?&par) | \{[^{}\n;]*+\}(?=[^\n]*\{) )++ )"
 _HEADS = {
     "script": rf"""(?P<sig>
         (?:(?:export|default|async|public|private|protected|static|override|readonly|abstract|declare|get|set)[ \t]++)*+
-        (?: function\*?+ [ \t]++ (?P<name>[\w$]++) | (?P<name2>(?!(?:{_NOT_NAMES})\b)[\w$]++) )
-        [ \t]*+ (?&ang)?+ [ \t]*+ (?&par) (?: [ \t]*+ : [ \t]*+ (?: [\w$.|& \t]++ | (?&ang) | (?&sq) | (?&par) | \{{[^{{}}\n;]*+\}}(?=[^\n]*\{{) )++ )?+ )
-        [ \t\n]*+""",
-    "go": r"""(?P<sig> func [ \t]++ (?:(?&par)[ \t]*+)?+ (?P<name>\w++) [ \t]*+ (?&sq)?+ (?&par)
-        (?: [ \t]*+ (?: (?&par) | (?&sq) | (?:interface|struct)\{\} | [\w.*]++ | <-)++ )*+ )
-        [ \t]*+""",
-    "rust": r"""(?P<sig> (?:(?:pub(?:\([^()]*\))?|async|const|unsafe|extern|default)[ \t]++)*+ fn [ \t]++ (?P<name>\w++)
-        [ \t]*+ (?&ang)?+ (?&par) (?:[ \t\n]*+ -> [^{};]++)?+ (?: \s where [^{};]++ )?+ )
-        \s*+""",
-}
-
-_BRACED = {k: regex.compile(_DEFINE + "^" + _LEAD + v + "(?P<body>(?&cur))", _FLAGS) for k, v in _HEADS.items()}
+        (?: (?:const|let|var)[ \t]++ (?P<name>[\w$]++) {_TYPE}?+ [ \t]*+ = [ \t]*+ (?:async[ \t]++)?+ (?:function\b\*?+[ \t]*+[\w$]*+)?+
+          | function\b\*?+ [ \t]*+ (?P<name>[\w$]++) | (?P<name>(?!(?:{_NOT_NAMES})\b)[\w$]++) )
+        [ \t]*+ (?&ang)?+ [ \t]*+ (?&par) (?P<type>{_TYPE})?+ (?:[ \t]*+ =>)?+ )""",
+    "go": r"""(?P<sig> (?P<type>func) [ \t]++ (?:(?&par)[ \t]*+)?+ (?P<name>\w++) [ \t]*+ (?&sq)?+ (?&par)
+        (?: [ \t]*+ (?: (?&par) | (?&sq) | (?:interface|struct)\{\} | [\w.*]++ | <-)++ )*+ )""",
+    "rust": r"""(?P<sig> (?:(?:pub(?:\([^()]*\))?|async|const|unsafe|extern|default)[ \t]++)*+ (?P<type>fn) [ \t]++ (?P<name>\w++)
+        [ \t]*+ (?&ang)?+ (?&par) (?:[ \t\n]*+ -> [^{};\n]++)?+ (?: \s where [^{};]++ )?+ )""",
+    "c": rf"""(?P<sig> (?:(?!(?:{_NOT_NAMES})\b)[\w$.:]++ (?&ang)?+ (?:\[\]|[*&?])*+ [ \t\n*&]++)++ (?P<name>[\w$~]++) [ \t]*+ (?&par) (?P<type>)
+        (?: \s*+ (?:const\b|noexcept\b|override\b|final\b|throws \s++ [\w.]++ (?: \s*+ , \s*+ [\w.]++ )*+) )*+ )""",
+}
+#: A balanced body, or the end of the line where the head alone shows a declaration.
+_BODY = r"(?: \s*+ (?P<body>(?&cur)) | (?(type) [ \t]*+ ;?+ [ \t]*+ (?=\n|\Z) | (?!) ) )"
+
+_BRACED = {k: regex.compile(_DEFINE.replace("QUOTED", _CHARACTER if k == "rust" else _STRING) + "^" + _LEAD + v + _BODY, _FLAGS) for k, v in _HEADS.items()}
 
 _PYTHON = regex.compile(
-    _DEFINE
+    _DEFINE.replace("QUOTED", _STRING)
     + r"""^(?P<doc> (?: [ \t]*+ \#[^\n]*+ \n )++ )?+
     (?: [ \t]*+ @[^\n]*+ \n )*+
     (?P<pad>[ \t]*+)
@@ -68,30 +75,23 @@ _PYTHON = regex.compile(
 )
 _DOCSTRING = regex.compile(r"\s*+(?P<q>\"{3}|'{3})(?P<doc>.*?)(?P=q)", regex.DOTALL | regex.V1)
 
-#: A stored symbol: its comment, a separator that no text holds, its signature.
-_MARK = "\x00\x1e"
-_RECORD = regex.compile(
-    _DEFINE
-    + r"""\A (?P<doc> (?: /\*(?:[^*\x00]++|\*(?!/))*+\*/ | (?: [ \t]*+ (?://|\#)[^\n\x00]*+ \n?+ )++ | [^\x00/\#]++ | [/\#] | \x00(?!\x1e) )*+ )
-    \x00\x1e
-    (?P<sig> (?: (?&str) | (?&par) | (?&sq) | (?&cur) | . )++ ) \Z""",
-    _FLAGS,
-)
-
 # Languages of files by the shape of their functions
-FAMILY = {"typescript": "script", "javascript": "script", "tsx": "script", "jsx": "script", "go": "go", "rust": "rust", "python": "python"}
+FAMILY = {"typescript": "script", "javascript": "script", "tsx": "script", "jsx": "script", "go": "go", "rust": "rust", "python": "python"} | dict.fromkeys(("java", "c", "cpp", "c++", "csharp", "c#", "kotlin", "scala"), "c")
 
 
 def capture(text: str | None, language: str | None) -> list[tuple[str, str, str, str]]:
     """(name, signature, comment, body) of each documented function of a source text.
 
-    An unknown language is tried as a braced script. A function cut off by the end of the
-    text has no balanced body and is left out. Nested functions are found as well.
+    An unknown language is tried as a script and as a language with types before names. A
+    function cut off by the end of the text has no balanced body and is left out; one that
+    is only declared (with a return type, ``func`` or ``fn``) has an empty one. Nested
+    functions are found as well.
     """
     if not text:
         return []
-    family = FAMILY.get((language or "").lower(), "script")
+    family = FAMILY.get((language or "").lower())
     out: list[tuple[str, str, str, str]] = []
+    seen: set[tuple[str, str, str]] = set()
     inner = [text]
     while inner:
         part = inner.pop()
@@ -103,13 +103,18 @@ def capture(text: str | None, language: str | None) -> list[tuple[str, str, str,
                     out.append((m["name"], m["sig"].strip(), doc, m["body"]))
                 if "def" in m["body"]:
                     inner.append(m["body"])
-        else:
-            closed = part.rfind("*/") + 2 if "*/" in part else 0  # no block comment opens behind the last end of one
-            part = part[:closed] + part[closed:].replace("/*", "/ ")
-            for m in _BRACED[family].finditer(part):
-                out.append((m["name"] or m["name2"] if family == "script" else m["name"], m["sig"].strip(), m["doc"], m["body"]))
-                if "/*" in m["body"] or "//" in m["body"]:
-                    inner.append(m["body"][1:])
+            continue
+        closed = part.rfind("*/") + 2 if "*/" in part else 0  # no block comment opens behind the last end of one
+        part = part[:closed] + part[closed:].replace("/*", "/ ")
+        for kind in (family,) if family else ("script", "c"):
+            for m in _BRACED[kind].finditer(part):
+                body = m["body"] or ""
+                found = (m["name"], m["doc"], body)
+                if found not in seen:
+                    seen.add(found)
+                    out.append((m["name"], m["sig"].strip(), m["doc"], body))
+                    if "/*" in body or "//" in body:
+                        inner.append(body[1:])
     return out
 
 
@@ -193,31 +198,62 @@ def describes(name: str | None, comment: str | None) -> bool:
 # ---------------------------------------------------------------- operators
 
 
-def symbol_pairs(symbols: DataFrame, kinds: tuple[str, ...] = ("function", "method")) -> DataFrame:
-    """(stable_id, name, kind, signature, description) of documented symbols.
+def _letters(c):
+    """A comment's letters and digits: equal however it is marked and laid out."""
+    return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
+
+
+def captured(docs: DataFrame, with_body: bool = True) -> DataFrame:
+    """(file_id, name, signature, doc, body): documented functions captured in the source texts of files.
+
+    ``docs`` needs file_id, text and language; rows without a file or a text have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (fid, name, sig, doc, body if with_body else "")
+                for fid, text, language in zip(*(c.to_pylist() for c in b.columns))
+                for name, sig, doc, body in capture(text, language)
+            ]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64())] + [pa.array(c, pa.string()) for c in cols[1:]], names=["file_id", "name", "signature", "doc", "body"])
+
+    some = docs.where(F.col("file_id").isNotNull() & (F.length("text") > 0)).select(F.col("file_id").cast("long").alias("file_id"), "text", "language")
+    return some.mapInArrow(run, "file_id long, name string, signature string, doc string, body string")
+
 
-    ``symbols`` needs stable_id, name, kind, signature and doc_comment; other columns are
-    not read. A row is left out if its kind is another or null, its stable_id is null, its
-    signature is null or blank, or its comment tells nothing (``describes``). Comment and
-    signature are captured together from the stored row by the recursive record pattern.
-    Repeated rows come out once; rows of one stable_id that differ come out each. One narrow
-    scan, filtered in the reader, and one distinct: nothing is gathered by key before it.
+def symbol_pairs(symbols: DataFrame, docs: DataFrame, kinds: tuple[str, ...] = ("function", "method"), with_body: bool = True) -> DataFrame:
+    """(stable_id, name, kind, signature, description, body, origin) of documented symbols.
+
+    ``symbols`` needs stable_id, file_id, name, kind, signature and doc_comment, ``docs``
+    the columns of ``captured``; others are not read. A row is left out if its kind is
+    another or null, its stable_id is null, its signature is null or blank, or its comment
+    tells nothing (``describes``). A symbol is a function captured in its file's text if
+    name and comment are the same, marks and layout aside: origin ``source``, description
+    and body as captured. The others have origin ``stored``, the stored comment and a null
+    body: their text is not at hand, ends before them, or holds another comment. Repeated
+    rows come out once; rows of one stable_id that differ come out each. Symbols and
+    captures meet by file, name and comment, so no key of the join holds many rows but by
+    repetition, which the distinct before it removes.
     """
-    cols = ["stable_id", "name", "kind", "signature", "doc_comment"]
+    cols = ["stable_id", "file_id", "name", "kind", "signature", "doc_comment"]
     some = symbols.select(*cols).where(
         F.col("kind").isin(*kinds) & F.col("stable_id").isNotNull() & (F.trim("signature") != "") & (F.trim("doc_comment") != "")
-    )
+    ).distinct()
+    found = captured(docs, with_body).withColumn("same", _letters(F.col("doc")))
+    found = found.groupBy("file_id", "name", "same").agg(F.min(F.struct("doc", "body")).alias("c"))
+    met = some.withColumn("same", _letters(F.col("doc_comment"))).join(found, ["file_id", "name", "same"], "left")
+    rows = met.select("stable_id", "name", "kind", "signature", F.coalesce("c.doc", "doc_comment").alias("doc"), "c.body", F.when(F.col("c").isNull(), "stored").otherwise("source").alias("origin"))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                m = _RECORD.match(r["doc_comment"] + _MARK + r["signature"])
-                if m and m["sig"].strip() and describes(r["name"], m["doc"]):
-                    rows.append((r["stable_id"], r["name"], r["kind"], m["sig"], strip_marks(m["doc"])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 5)], names=["stable_id", "name", "kind", "signature", "description"])
+            docs_, names = b.column("doc").to_pylist(), b.column("name").to_pylist()
+            keep = [describes(n, d) for n, d in zip(names, docs_)]
+            text = pa.array([strip_marks(d) for d in docs_], pa.string())
+            yield b.set_column(4, "description", text).filter(pa.array(keep, pa.bool_()))
 
-    return some.mapInArrow(pairs, "stable_id string, name string, kind string, signature string, description string").distinct()
+    return rows.mapInArrow(told, "stable_id string, name string, kind string, signature string, description string, body string, origin string").distinct()
 
 
 def source_pairs(docs: DataFrame) -> DataFrame:

@@ -8,18 +8,28 @@ from strataline.llm import cooccurrence, doc_pairs, leaks, lookalikes, mixing, n
 from strataline.session import table
 
 
+def _sources(spark, d):
+    return table(spark, d, "documents").where(F.col("doc_kind") == "source_file")
+
+
 def p1_found(spark, d):
-    return doc_pairs.symbol_pairs(table(spark, d, "symbols")).select("stable_id").distinct()
+    return doc_pairs.symbol_pairs(table(spark, d, "symbols"), _sources(spark, d), with_body=False).select("stable_id").distinct()
 
 
 def p1_pairs(spark, d):
-    """Signature and description of every documented function and method."""
-    return doc_pairs.symbol_pairs(table(spark, d, "symbols"))
+    """Signature, description and body of every documented function and method."""
+    return doc_pairs.symbol_pairs(table(spark, d, "symbols"), _sources(spark, d))
+
+
+def p1_origins(spark, d):
+    """How many pairs were captured in a source text and how many come from stored columns."""
+    pairs = doc_pairs.symbol_pairs(table(spark, d, "symbols"), _sources(spark, d), with_body=False)
+    return pairs.groupBy("origin").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def p1_source_pairs(spark, d):
     """Documented functions with their bodies, out of the source texts themselves."""
-    return doc_pairs.source_pairs(table(spark, d, "documents").where(F.col("doc_kind") == "source_file"))
+    return doc_pairs.source_pairs(_sources(spark, d))
 
 
 def p2_found(spark, d):
@@ -93,7 +103,7 @@ def p10_spellings(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_lift, p3_found, p3_origins, p4_found, p4_entities, p5_found, p5_search, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
+    for f in (p1_found, p1_pairs, p1_origins, p1_source_pairs, p2_found, p2_lift, p3_found, p3_origins, p4_found, p4_entities, p5_found, p5_search, p8_found, p8_near, p9_mix, p9_shares, p10_found, p10_spellings)
 }
 
 _TOGETHER = """

@@ -26,10 +26,27 @@ def test_symbol_pairs_edge_cases(spark):
         ("3", "f", "class", "f", "Explains it.", "c"), (None, "f", "function", "f", "Explains it.", "c"), ("5", None, "function", "f(\"(\"", "// Explains it.\n// More", "c"), ("6", "f", "function", None, None, "c"),
         ("7", "f", "function", "f()", "Word " * 200_000, "c"), ("8", "f", None, "f()", "Explains.", "c"),
     ]
-    df = spark.createDataFrame(rows, "stable_id string, name string, kind string, signature string, doc_comment string, description string")
-    got = {r["stable_id"]: r["description"] for r in doc_pairs.symbol_pairs(df).collect()}
-    assert set(got) == {"1", "5", "7"} and got["1"] == "Explains it well." and got["5"] == "Explains it.\nMore"
-    assert doc_pairs.symbol_pairs(df.limit(0)).collect() == []
+    df = spark.createDataFrame([(*r, 1) for r in rows], "stable_id string, name string, kind string, signature string, doc_comment string, description string, file_id long")
+    docs = spark.createDataFrame([(1, "// Explains it well.\nfunc f(a) { return }\n", "go", "x"), (None, "x", "go", "x"), (1, None, None, "x"), (2, "", "go", "x")], "file_id long, text string, language string, name string")
+    got = {r["stable_id"]: r for r in doc_pairs.symbol_pairs(df, docs).collect()}
+    assert set(got) == {"1", "5", "7"} and got["1"]["description"] == "Explains it well." and got["5"]["description"] == "Explains it.\nMore"
+    assert (got["1"]["origin"], got["1"]["body"]) == ("source", "{ return }") and (got["5"]["origin"], got["5"]["body"]) == ("stored", None)
+    assert doc_pairs.symbol_pairs(df.limit(0), docs).collect() == [] and doc_pairs.symbol_pairs(df, docs.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize(
+    "language, text, names",
+    [
+        ("rust", "/// Reads.\nfn f<'a>(x: &'a str) -> Vec<&'a str> {\n let c = '{'; \n}\n/// Declared.\nfn g(&self);\n", "f g"),
+        ("typescript", "// Adds.\nexport const a = async (x) => {\n return '}';\n}\n/** B */\nconst b = function (y) { return 1 }\n/** D */\n  probe(block: unknown): number\n// call\nfoo(x);\n// if\nif (x) { y }\n", "a b probe"),
+        ("java", "/** Adds. */\npublic static List<Foo> add(int a, int[] b) throws A, b.C {\n return 1;\n}\n", "add"),
+        ("c", "// c\nchar *name(void)\n{ return 0; }\n// call\nreturn f(x);\n", "name"),
+        (None, "/** Adds. */\nint add(int a) {\n return 1;\n}\n// js\nfunction z(){ }\n", "add z"),
+        ("go", "// Go.\nfunc (r *X) Y(a int) []byte\n// Z.\nfunc Z() (int, error) { return `}`, nil }\n", "Y Z"),
+    ],
+)
+def test_shapes_of_functions(language, text, names):
+    assert sorted(x[0] for x in doc_pairs.capture(text, language)) == names.split()
 
 
 def test_capture_protects_strings_and_is_linear():
