@@ -67,6 +67,14 @@ def test_repair_grammar_accounts_for_all_tokens():
     assert g["uses"][7] / g["rules"][7] > 2 and (g["doc"] == 7).sum() < 20
 
 
+def test_leading_comment_is_read_to_its_end():
+    licence = "".join(f" * line {i} of a licence\n" for i in range(30))
+    head = provenance.leading_comment((f"/*\n{licence} */\n// Code generated by tool v1. DO NOT EDIT.\nfunc f() {{}}\n// copied from lib").split("\n"))
+    assert "Code generated" in head and "copied" not in head
+    assert provenance.leading_comment(["x = 1", "# generated by y"]) == "" and provenance.leading_comment(["package a", "// b"]) == "// b"
+    assert provenance.leading_comment(['"""one"""', "x", "# y"]) == '"""one"""' and provenance.leading_comment([]) == ""
+
+
 def test_origins(spark):
     code = "function a%d(x) {\n  return b%d(x) + %d;\n}\n"
     body = "".join(code % (i, i * 7 % 11, i) for i in range(12))
