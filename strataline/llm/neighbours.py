@@ -25,11 +25,17 @@ LEAF, CAP = 256, 1024
 SPAN = 16_384
 #: Trees at least; more as the collection grows (one per level).
 TREES = 8
-#: Neighbours kept in the graph, neighbours each node brings to a join from either direction.
-KEEP, JOIN = 16, 6
-#: Neighbours a leaf contributes to one row.
-PER_LEAF = 8
-#: ... of which so many may be less similar than asked for; they only lead the way.
+#: Neighbours kept in the graph, neighbours each node brings to a join from either direction,
+#: neighbours a leaf contributes to one row, and rounds at most, if close neighbours are asked for ...
+CLOSE = {"keep": 20, "join": 10, "per": 10, "rounds": 8}
+#: ... and if neighbours of any similarity are.
+ANY = {"keep": 64, "join": 32, "per": 32, "rounds": 12}
+#: Similarity from which neighbours are close.
+NEAR = 0.5
+#: The graph also holds neighbours that are less similar than asked for by so much.
+SLACK = 0.05
+#: Neighbours of a leaf that may be less similar than asked for; they only lead the way, and only
+#: if the angle to them is at most twice the one asked for.
 LEAD = 4
 #: Further rows with one and the same vector that are kept as its nearest.
 COPIES = 6
@@ -173,6 +179,8 @@ def _lists(sim: np.ndarray, idx: np.ndarray, ids: np.ndarray, ok: np.ndarray) ->
 
 def _within(per: int, least: float):
     """(id, near): the most similar rows of the same leaf, LEAD of them even if below ``least``."""
+    asked = min(1.0, least + SLACK)
+    lead = 2 * asked * asked - 1 if asked > 0 else -1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, codes, far in _blocks(batches, 1 << 62):
@@ -193,8 +201,9 @@ def _within(per: int, least: float):
                     top = np.take_along_axis(s, idx, axis=1)
                     order = np.argsort(-top, axis=1, kind="stable")
                     idx, top = np.take_along_axis(idx, order, 1), np.take_along_axis(top, order, 1)
-                    ok = (top >= least) | (np.arange(k) < LEAD)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), _lists(top, others[idx], ids, ok)], names=["id", "near"])
+                    ok = (top >= least) | ((np.arange(k) < LEAD) & (top >= lead))
+                    some = ok.any(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who[some]]), _lists(top[some], others[idx[some]], ids, ok[some])], names=["id", "near"])
 
     return run
 
@@ -236,10 +245,12 @@ def _best(lists, keep: int):
     return F.slice(F.sort_array(F.array_distinct(lists), asc=False), 1, keep)
 
 
-def graph(codes: DataFrame, n: int, mean: np.ndarray, least: float = -1.0, rounds: int = 3, keep: int = KEEP, join: int = JOIN, seed: int = 11, trees: int | None = None) -> Stored:
+def graph(codes: DataFrame, n: int, mean: np.ndarray, least: float = -1.0, keep: int = 0, seed: int = 11, exact: bool = False) -> Stored:
     """(id, near): neighbour graph of ``codes`` (id, code), near descending by similarity.
 
-    Only neighbours with a similarity of at least ``least`` are added after the start, so a
+    At least ``keep`` neighbours are kept. With ``exact`` all pairs of rows are compared, in
+    blocks, and nothing needs to be joined. Rows without any neighbour have no row. The sizes
+    are CLOSE or ANY, by ``least``. Only neighbours with a similarity of at least ``least`` are added after the start, so a
     caller who needs close neighbours only does not pay for improving distant ones. Rounds
     end early when fewer than one in a thousand rows change.
 
@@ -249,10 +260,13 @@ def graph(codes: DataFrame, n: int, mean: np.ndarray, least: float = -1.0, round
     """
     spark = codes.sparkSession
     parts = partitions(spark)
-    depth = max(0, math.ceil(math.log2(max(1, n / LEAF))))
-    t = (trees or max(TREES, depth)) if depth else 1
+    size = CLOSE if least >= NEAR else ANY
+    keep, join, rounds, per = max(keep, size["keep"]), size["join"], size["rounds"], max(size["per"], keep if exact else 0)
+    depth = 0 if exact else max(0, math.ceil(math.log2(max(1, n / LEAF))))
+    t = max(TREES, depth) if depth else 1
+    rounds = rounds if depth else 0
     leaves, large = _cells(codes, _leaves(mean, t, depth, seed), SPAN)
-    near = leaves.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_within(PER_LEAF, least), f"id long, near {_LIST_SQL}")
+    near = leaves.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_within(per, least), f"id long, near {_LIST_SQL}")
     now = Stored(near.groupBy("id").agg(_best(F.flatten(F.collect_list("near")), keep).alias("near")), "graph")
     large.drop()
     for r in range(rounds):
@@ -331,16 +345,17 @@ def _exact(c: Collection, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", (dot / (norm("va") * norm("vb"))).alias("sim"))
 
 
-def neighbours(vectors: DataFrame, key: str, vec: str, dim: int, k: int = 5, least: float = -1.0, rounds: int = 3) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, vec: str, dim: int, k: int = 5, least: float = -1.0, exact: bool = False) -> DataFrame:
     """(key, neighbour, sim): up to ``k`` most similar others of every key, at least ``least``.
 
     See ``valid`` for which rows take part. Similarity is the cosine, equal similarities are
     ordered by key. Keys with one and the same vector are each other's nearest (the COPIES
-    smallest keys of a vector stand for all). Approximate: with ``least`` well above the
-    similarity of unrelated vectors nearly all are found; the README gives the recall.
+    smallest keys of a vector stand for all). Approximate; the README gives the recall for
+    close neighbours, dense clusters and unrelated vectors. ``exact`` compares all pairs of
+    rows instead, in blocks, at a cost that grows with the square of the collection.
     """
     c = Collection(vectors, key, vec, dim)
-    g = graph(c.codes.read(), c.n, c.mean, least=least - 0.05, rounds=rounds, keep=max(KEEP, 2 * k))
+    g = graph(c.codes.read(), c.n, c.mean, least=least - SLACK, keep=2 * k, exact=exact)
     edges = g.read().select("id", F.explode("near").alias("e")).select(F.col("id").alias("a"), F.col("e.n").alias("b"), F.col("e.s").alias("s")).where(F.col("s") >= least - 0.03)
     und = Stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     sims = Stored(_exact(c, und.read()).where(F.col("sim") >= least), "sims")
@@ -439,7 +454,7 @@ def search_symbols(meta: DataFrame, embeddings: DataFrame, dim: int = 64, k: int
     each other's nearest, as in ``neighbours``."""
     known = meta.select("symbol_id").distinct()
     c = Collection(embeddings.join(known, "symbol_id", "left_semi"), "symbol_id", "embedding", dim)
-    g = graph(c.codes.read(), c.n, c.mean, least=least - 0.05)
+    g = graph(c.codes.read(), c.n, c.mean, least=least - SLACK)
     names = c.heads.select("id", "key") if c.members is None else c.members.select("id", "key")
     asked = names.where(F.col("key") % every == 0)
     found = search(c, g, c.vectors.read().join(asked.select("id").distinct(), "id").select(F.col("id").alias("q"), "v"), k + 1)

@@ -193,6 +193,25 @@ def test_all_neighbours_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def recall(spark, x, least, **kw):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
+    got = {(r["key"], r["neighbour"]) for r in neighbours.neighbours(df, "k", "v", x.shape[1], 5, least, **kw).collect()}
+    want = top(x, 5, least)
+    return len(got & want) / len(want)
+
+
+def test_recall_in_one_dense_cluster(spark):
+    x = np.random.default_rng(0).standard_normal((12_000, 64)).astype(np.float32)
+    x[:8000] = x[0] / np.linalg.norm(x[0]) + 0.034 * x[:8000]
+    assert recall(spark, x, 0.9) >= 0.9
+
+
+def test_recall_of_unrelated_vectors(spark):
+    x = np.random.default_rng(1).standard_normal((6000, 64)).astype(np.float32)
+    assert recall(spark, x, -1.0) >= 0.9
+    assert recall(spark, x[:2000], -1.0, exact=True) == 1.0
+
+
 def test_greedy_search_recall(spark):
     x = planted(1500, 16, 10, 7)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
