@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from strataline.session import Stored, free_shuffles
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, stored: Stored | None = None) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, ready: bool = False) -> DataFrame:
     """(key, id, depth): nodes reachable from the seeds, with their least distance.
 
     ``seeds`` has (key, id) and optionally depth (default 0): each key is a traversal of its
     own. ``edges`` has (src, dst). Semi-naive: a round joins only the nodes found last,
     drops what its key has visited, and is stored, which cuts lineage and survives lost
-    executors; the loop ends when nothing is new, so cycles end. Edge rows are distinct and
-    written once, whatever the number of rounds.
+    executors; the loop ends when nothing is new, so cycles end. Edges are made distinct and
+    written once, whatever the number of rounds, unless they are ``ready``: a scan of a
+    stored table.
     """
     spark = edges.sparkSession
-    e = stored or Stored(edges.select("src", "dst").dropna(how="any").where(F.col("src") != F.col("dst")).distinct(), "edges")
+    e = edges.select("src", "dst") if ready else Stored(edges.select("src", "dst").dropna(how="any").where(F.col("src") != F.col("dst")).distinct(), "edges").read()
     if "depth" not in seeds.columns:
         seeds = seeds.withColumn("depth", F.lit(0))
     start = seeds.groupBy("key", "id").agg(F.min("depth").cast("int").alias("depth"))
@@ -37,10 +38,10 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, stor
         seen = first.read().where(F.col("depth") <= level + 1).select("key", "id") if level < late else first.read().select("key", "id")
         for s in found:
             seen = seen.unionByName(s.read().select("key", "id"))
-        step = last.join(e.read().withColumnRenamed("src", "id"), "id").select("key", F.col("dst").alias("id")).distinct()
-        new = Stored(step.join(seen, ["key", "id"], "left_anti").withColumn("depth", F.lit(level + 1).cast("int")), "reach")
+        step = last.join(e.withColumnRenamed("src", "id"), "id").select("key", F.col("dst").alias("id")).distinct()
+        new = Stored(step.join(seen, ["key", "id"], "left_anti").withColumn("depth", F.lit(level + 1).cast("int")), "reach", counted=True)
         level += 1
-        if new.count() == 0 and level > late:
+        if new.rows == 0 and level > late:
             new.drop()
             break
         found.append(new)

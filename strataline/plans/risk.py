@@ -9,21 +9,32 @@ from strataline import schemas as S
 from strataline.operators import graph
 from strataline.tables import Tables, with_views
 
-# Paths whose top-level functions are entry points, as SQL LIKE patterns
-ENTRY_PATHS = ("scripts/%", "bench/%", "bench-eval/%", "bench-llm/%", "%/main.ts", "%/bin.ts", "%/run.ts", "%/cli/index.ts", "%/cli/index.tsx", "src/web/client/index.tsx")
+#: Places of entry points below the project, as SQL LIKE patterns: their top-level functions count as used.
+ENTRY_PATHS = ("scripts/%", "bench/%", "%/main.%", "%/bin.%", "%/run.%", "%/cli/index.%")
 # Weight of a hotspot by the coverage of its symbol
 COVERAGE_WEIGHT = {"none": 1.0, "imported": 0.6, "called": 0.2}
-#: Paths of generated files, and the note in the first 4 KB that marks one.
-GENERATED_PATH = r"(?i)(^|/)(generated|__generated__|mocks?|fakes?)/|\.(gen|generated|pb|g)\.\w+$|_pb2\.py$|(^|/)fake_[^/]*$|_mock\.go$"
-GENERATED_NOTE = r"Code generated.*DO NOT EDIT"
+# Marks of generated files in their path, and the note in the first 4 KB of their text
+GENERATED_DIRS = ("mocks", "fakes", "__generated__")
+GENERATED_PREFIXES, GENERATED_SUFFIX = ("fake_", "mock_"), "_mock"
+GENERATED_EXTENSIONS = ("go", "ts", "tsx", "js", "jsx", "py")
+GENERATED_NOTE = "Code generated.*DO NOT EDIT"
 #: Test files as the blast radius sees them.
 BLAST_TEST = r"\.test\.|\.spec\.|__tests__|^tests?/|/tests?/"
 
 
 def generated_files(t: Tables) -> DataFrame:
     """(file_id) of files generated by their path or by a note in the first 4 KB of their text."""
-    by_path = t.files.where(F.col("path").rlike(GENERATED_PATH)).select(F.col("id").alias("file_id"))
-    by_text = t.raw("documents").where(F.col("file_id").isNotNull() & F.substring("text", 1, 4096).rlike(GENERATED_NOTE)).select("file_id")
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    extension = F.substring_index(name, ".", -1)
+    bare = F.expr("substring(element_at(split(path, '/'), -1), 1, length(element_at(split(path, '/'), -1)) - length(substring_index(path, '.', -1)) - 1)")
+    named = F.lit(False)
+    for x in GENERATED_PREFIXES:
+        named = named | (bare.startswith(x) & (F.length(bare) > len(x)))
+    named = named | (bare.endswith(GENERATED_SUFFIX) & (F.length(bare) > len(GENERATED_SUFFIX)))
+    placed = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, GENERATED_DIRS)))
+    by_path = t.files.where(placed | (name.contains(".") & extension.isin(*GENERATED_EXTENSIONS) & named)).select(F.col("id").alias("file_id"))
+    by_text = t.raw("documents").where(F.col("file_id").isNotNull() & F.substring("text", 1, 4096).rlike("(?i)" + GENERATED_NOTE)).select("file_id")
     return by_path.unionByName(by_text.join(t.files.select(F.col("id").alias("file_id")), "file_id", "left_semi")).distinct()
 
 
@@ -32,17 +43,14 @@ def imported_pairs(t: Tables) -> DataFrame:
     tests = t.files.where("is_test").select(F.col("id").alias("key"))
     edges = t.imports.select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"))
     seeds = edges.join(tests, edges.src == tests.key, "left_semi").select(F.col("src").alias("key"), F.col("dst").alias("id"))
-    files = graph.reach(seeds, edges).select(F.col("key").alias("test_file_id"), F.col("id").alias("file_id"))
+    files = graph.reach(seeds, edges, ready=True).select(F.col("key").alias("test_file_id"), F.col("id").alias("file_id"))
     return files.join(open_symbols(t).select("file_id", F.col("stable_id").alias("source_symbol_stable_id")), "file_id").select("test_file_id", "source_symbol_stable_id").distinct()
 
 
 def called_pairs(t: Tables) -> DataFrame:
     """(test_file_id, source_symbol_stable_id): symbols outside tests that a test's symbols call or are handed."""
-    p = t.placed.select("stable_id", "file_id", "is_test")
-    a = p.where("is_test").select(F.col("stable_id").alias("source_id"), F.col("file_id").alias("test_file_id"))
-    b = p.where(~F.col("is_test")).select(F.col("stable_id").alias("target_id"))
-    e = t.edges.where(F.col("kind").isin("calls", "passed_as")).select("source_id", "target_id").distinct()
-    return e.join(a, "source_id").join(b, "target_id").select("test_file_id", F.col("target_id").alias("source_symbol_stable_id")).distinct()
+    e = t.linked.where(F.col("kind").isin("calls", "passed_as") & F.col("source_test") & ~F.col("target_test"))
+    return e.select(F.col("source_file_id").alias("test_file_id"), F.col("target_id").alias("source_symbol_stable_id")).distinct()
 
 
 def test_links(t: Tables) -> DataFrame:
@@ -67,21 +75,25 @@ def coverage(t: Tables) -> DataFrame:
     edges = t.imports.select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"))
     tests = t.files.where("is_test").select(F.col("id").alias("src"))
     seeds = edges.join(tests, "src", "left_semi").select(F.lit(0).alias("key"), F.col("dst").alias("id"))
-    files = graph.reach(seeds, edges).select(F.col("id").alias("file_id"))
+    files = graph.reach(seeds, edges, ready=True).select(F.col("id").alias("file_id"))
     imported = open_symbols(t).join(files, "file_id", "left_semi").select("stable_id", F.lit(0).alias("rank"))
     called = called_pairs(t).select(F.col("source_symbol_stable_id").alias("stable_id"), F.lit(1).alias("rank"))
     best = imported.unionByName(called).groupBy("stable_id").agg(F.max("rank").alias("rank"))
     return best.select("stable_id", F.when(F.col("rank") == 1, "called").otherwise("imported").alias("coverage"))
 
 
-def live_roots(t: Tables, called: DataFrame) -> DataFrame:
-    """Symbols that are alive by themselves: exported, called by tests, entry points, components."""
+def live_roots(t: Tables, called: DataFrame, entry_paths: tuple[str, ...] = ENTRY_PATHS) -> DataFrame:
+    """Symbols that are alive by themselves: exported, called by tests, entry points, components.
+
+    ``entry_paths`` are compared with what follows the project, the path's first part.
+    """
     p = t.placed.where(~F.col("is_test"))
     out = open_symbols(t).select("stable_id")
     top = p.where(F.col("kind").isin("function", "class"))
     entry = F.lit(False)
-    for like in ENTRY_PATHS:
-        entry = entry | F.lower("path").like(like)
+    below = F.lower(F.expr("substring(path, instr(path, '/') + 1)"))
+    for like in entry_paths:
+        entry = entry | below.like(like) | F.concat(F.lit("/"), below).like(like)
     out = out.unionByName(top.where(F.col("parent_id").isNull() & entry).select("stable_id"))
     out = out.unionByName(top.where(F.lower("path").endswith(".tsx") & F.col("name").rlike("^[A-Z]")).select("stable_id"))
     return out.unionByName(called.select(F.col("source_symbol_stable_id").alias("stable_id"))).distinct()
@@ -90,8 +102,7 @@ def live_roots(t: Tables, called: DataFrame) -> DataFrame:
 def dead_code(t: Tables, include_tests: bool = False, path: str | None = None, kind: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """Symbols that no root reaches over liveness edges and that are not exported themselves."""
     roots = live_roots(t, called_pairs(t)).select(F.lit(0).alias("key"), F.col("stable_id").alias("id"))
-    edges = t.edges.where(F.col("kind").isin(*S.LIVENESS_KINDS)).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    alive = graph.reach(roots, edges).select(F.col("id").alias("stable_id"))
+    alive = graph.reach(roots, _walk(t, S.LIVENESS_KINDS, False), ready=True).select(F.col("id").alias("stable_id"))
     x = t.placed.where(~F.col("is_exported") & F.col("kind").isin(*S.DEAD_KINDS) & (F.col("name") != "constructor"))
     if not include_tests:
         x = x.where(~F.col("is_test"))
@@ -168,14 +179,14 @@ def busiest(t: Tables, callers: bool = True) -> str | None:
 
 def _walk(t: Tables, kinds, inbound: bool) -> DataFrame:
     a, b = ("target_id", "source_id") if inbound else ("source_id", "target_id")
-    return t.edges.where(F.col("kind").isin(*kinds)).select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return t.steps.where(F.col("kind").isin(*kinds)).select(F.col(a).alias("src"), F.col(b).alias("dst"))
 
 
 def dependencies(t: Tables, start: str, direction: str = "upstream", depth: int = 3) -> DataFrame:
     """Nodes within ``depth`` steps: upstream are callers, downstream callees; unknown ids are kept."""
     kinds = [k for k in S.EDGE_KINDS if k != "contains"]
     seeds = t.spark.createDataFrame([("q", start)], "key string, id string")
-    r = graph.reach(seeds, _walk(t, kinds, direction == "upstream"), depth).where(F.col("depth") > 0)
+    r = graph.reach(seeds, _walk(t, kinds, direction == "upstream"), depth, ready=True).where(F.col("depth") > 0)
     names = t.placed.select(F.col("stable_id").alias("id"), "name", "kind", "path")
     return r.join(names, "id", "left").select(F.col("id").alias("stable_id"), "depth", F.coalesce("name", F.lit("<unknown>")).alias("name"), "kind", "path")
 
@@ -189,7 +200,7 @@ def blast_radius(t: Tables, start: str, depth: int = 5, include_tests: bool = Tr
     typed = kind is not None and kind["kind"] in ("class", "interface", "type")
     if typed:
         seeds = seeds.unionByName(members.select(F.lit("q").alias("key"), "id", F.lit(1).alias("depth")))
-    r = graph.reach(seeds, _walk(t, kinds, True), depth).where(F.col("depth") > 0)
+    r = graph.reach(seeds, _walk(t, kinds, True), depth, ready=True).where(F.col("depth") > 0)
     if typed:
         r = r.join(members, "id", "left_anti")
     x = r.join(t.placed.select(F.col("stable_id").alias("id"), "name", "path", "is_test"), "id")
@@ -214,7 +225,7 @@ def flow_roots(t: Tables) -> DataFrame:
 def flows(t: Tables, depth: int = 5) -> DataFrame:
     """(root, stable_id, step): what each flow root reaches by calls within ``depth``; chains of two and more."""
     seeds = flow_roots(t).select(F.col("stable_id").alias("key"), F.col("stable_id").alias("id"))
-    r = graph.reach(seeds, _walk(t, ("calls",), False), depth)
+    r = graph.reach(seeds, _walk(t, ("calls",), False), depth, ready=True)
     known = r.join(t.symbols.select(F.col("stable_id").alias("id")), "id", "left_semi")
     long = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2).select("key")
     return known.join(long, "key", "left_semi").select(F.col("key").alias("root"), F.col("id").alias("stable_id"), F.col("depth").alias("step"))
@@ -237,7 +248,7 @@ def trace_to_busiest(spark, d):
     t = Tables(spark, d)
     goal = busiest(t) or ""
     seeds = spark.createDataFrame([("q", goal)], "key string, id string")
-    row = graph.reach(seeds, _walk(t, S.FAST_TRACE_KINDS, True), 4).orderBy(F.desc("depth"), "id").first()
+    row = graph.reach(seeds, _walk(t, S.FAST_TRACE_KINDS, True), 4, ready=True).orderBy(F.desc("depth"), "id").first()
     return trace(t, row["id"], goal, max_depth=6).select(F.concat_ws(">", "path").alias("path"), "length")
 
 
@@ -269,11 +280,13 @@ imported AS (SELECT DISTINCT w.test_id AS test_file_id, s.stable_id FROM walk w
   WHERE NOT s.is_test AND (s.is_exported OR p.is_exported)),
 links AS (SELECT test_file_id, stable_id, max(r) AS r FROM (SELECT *, 1 AS r FROM called UNION ALL SELECT *, 0 FROM imported) GROUP BY ALL),
 per_file AS (SELECT file_path AS path, count(DISTINCT commit_hash) AS commits FROM ch GROUP BY 1),
-gen AS (SELECT id AS file_id FROM fc WHERE regexp_matches(path, '{GENERATED_PATH}') UNION
-  SELECT d.file_id FROM documents d JOIN fc f ON f.id = d.file_id WHERE regexp_matches(substr(d.text, 1, 4096), '{GENERATED_NOTE}')),
+gen AS (SELECT id AS file_id FROM fc WHERE path LIKE 'mocks/%' OR path LIKE 'fakes/%' OR path LIKE '\\_\\_generated\\_\\_/%' ESCAPE '\\' OR contains(path, '/mocks/') OR contains(path, '/fakes/') OR contains(path, '/__generated__/')
+    OR (list_contains(['go', 'ts', 'tsx', 'js', 'jsx', 'py'], regexp_extract(path, '[.]([^.]*)$', 1))
+      AND regexp_matches(regexp_extract(path, '[^/]*$'), '^(fake_.+|mock_.+|.+_mock)[.][a-z]+$')) UNION
+  SELECT d.file_id FROM documents d JOIN fc f ON f.id = d.file_id WHERE regexp_matches(lower(substr(d.text, 1, 4096)), 'code generated[^\n]*do not edit')),
 roots AS (SELECT s.stable_id FROM sf s LEFT JOIN sc p ON p.stable_id = s.parent_id WHERE NOT s.is_test AND (s.is_exported OR p.is_exported)
   UNION SELECT stable_id FROM called
-  UNION SELECT stable_id FROM sf WHERE NOT is_test AND parent_id IS NULL AND kind IN ('function', 'class') AND ({" OR ".join(f"lower(path) LIKE '{x}'" for x in ENTRY_PATHS)})
+  UNION SELECT stable_id FROM sf WHERE NOT is_test AND parent_id IS NULL AND kind IN ('function', 'class') AND (regexp_matches(lower(path), '^[^/]*/(scripts|bench)/') OR regexp_matches(lower(path), '/(main|bin|run)[.][^/]*$') OR regexp_matches(lower(path), '/cli/index[.][^/]*$'))
   UNION SELECT stable_id FROM sf WHERE NOT is_test AND kind IN ('function', 'class') AND lower(path) LIKE '%.tsx' AND regexp_matches(name, '^[A-Z]')),
 live(stable_id) AS (SELECT stable_id FROM roots UNION SELECT e.target_id FROM ec e JOIN live l ON l.stable_id = e.source_id WHERE e.kind IN {_KINDS(S.LIVENESS_KINDS)}),
 busy AS (SELECT target_id AS id FROM ec WHERE kind = 'calls' AND target_id IN (SELECT stable_id FROM sc) GROUP BY 1 ORDER BY count(DISTINCT source_id) DESC, target_id LIMIT 1),

@@ -18,11 +18,11 @@ def file_graph(t: Tables, with_co_change: bool = False, include_tests: bool = Fa
 
     With co-change, half the number of common commits is added to a pair's weight.
     """
-    p = t.placed if include_tests else t.placed.where(~F.col("is_test"))
-    s = p.select("stable_id", "file_id")
-    e = t.edges.where(F.col("kind") != "field_access").select("source_id", "target_id")
-    x = e.join(s.select(F.col("stable_id").alias("source_id"), F.col("file_id").alias("x")), "source_id").join(s.select(F.col("stable_id").alias("target_id"), F.col("file_id").alias("y")), "target_id")
-    w = x.where(F.col("x") != F.col("y")).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    x = t.linked.where((F.col("kind") != "field_access") & (F.col("source_file_id") != F.col("target_file_id")))
+    if not include_tests:
+        x = x.where(~F.col("source_test") & ~F.col("target_test"))
+    a, b = F.least("source_file_id", "target_file_id"), F.greatest("source_file_id", "target_file_id")
+    w = x.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     if with_co_change:
         ids = t.files.select(F.col("id"), "path")
         co = git.co_change(t, include_tests=include_tests)
@@ -180,11 +180,8 @@ def federated_dead(dead: DataFrame, xedges: DataFrame) -> DataFrame:
 
 def cross_project_fanout(t: Tables) -> DataFrame:
     """Edges between symbols of different projects, per pair and kind."""
-    p = t.placed.select("stable_id", F.substring_index("path", "/", 1).alias("project"))
-    x = t.edges.join(p.select(F.col("stable_id").alias("source_id"), F.col("project").alias("source_project")), "source_id").join(
-        p.select(F.col("stable_id").alias("target_id"), F.col("project").alias("target_project")), "target_id"
-    )
-    return x.where(F.col("source_project") != F.col("target_project")).groupBy("source_project", "target_project", "kind").agg(F.count(F.lit(1)).alias("edges"))
+    x = t.linked.where(F.col("source_project") != F.col("target_project"))
+    return x.groupBy("source_project", "target_project", "kind").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def _q(f, **kw):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline import schemas as S
 from strataline.operators import relational as R
+from strataline.operators.skew import hot_keys, lookup
 from strataline.tables import Tables, with_views
 
 
@@ -46,7 +47,8 @@ def call_sites(t: Tables, inbound: bool = True, kind: str | None = None) -> Data
     own, other = ("target_id", "source_id") if inbound else ("source_id", "target_id")
     e = t.edges if kind is None else t.edges.where(F.col("kind") == kind)
     p = t.placed.select(F.col("stable_id").alias(other), F.col("name").alias("other_name"), F.col("kind").alias("other_kind"), "path", "line_start")
-    return e.withColumnRenamed("kind", "edge_kind").join(p, other).select(F.col(own).alias("stable_id"), F.col(other).alias("other_id"), "other_name", "other_kind", "path", "line_start", F.col("line").alias("call_line"), "edge_kind")
+    x = lookup(e.withColumnRenamed("kind", "edge_kind"), p, other, "inner", hot_keys(e, other))
+    return x.select(F.col(own).alias("stable_id"), F.col(other).alias("other_id"), "other_name", "other_kind", "path", "line_start", F.col("line").alias("call_line"), "edge_kind")
 
 
 def file_outline(t: Tables) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables up to this many bytes on disk may be broadcast when their size is known.
 BROADCAST_BYTES = 8 << 20
@@ -17,6 +21,14 @@ BROADCAST_BYTES = 8 << 20
 _scratch: dict[str, str] = {}
 
 
+def _own_folder(key: str) -> str:
+    """A folder of this process, removed at exit."""
+    if key not in _scratch:
+        _scratch[key] = tempfile.mkdtemp(prefix="strataline-")
+        atexit.register(shutil.rmtree, _scratch[key], True)
+    return "file://" + _scratch[key]
+
+
 def local_session(app: str = "strataline", cpus: str = "8", partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark on one machine."""
     return (
@@ -30,6 +42,7 @@ def local_session(app: str = "strataline", cpus: str = "8", partitions: int = 8)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("STRATALINE_DRIVER_MEMORY", "12g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", os.environ.get("STRATALINE_SHARED_DIR") or _own_folder("session"))
         .getOrCreate()
     )
 
@@ -64,8 +77,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors are one process, gets a
-    temporary folder of its own; on a cluster a missing setting is an error.
+    ``local_session`` always sets it. Where another session does not, a local master, whose
+    driver and executors are one process, gets a folder of its own; on a cluster a missing
+    setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
@@ -73,49 +87,65 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = sc.applicationId
-    if key not in _scratch:
-        _scratch[key] = tempfile.mkdtemp(prefix="strataline-")
-        atexit.register(shutil.rmtree, _scratch[key], True)
-    return "file://" + _scratch[key]
+    return _own_folder(sc.applicationId)
+
+
+_live: dict[str, Stored] = {}
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drop all tables stored inside, at the end: around a query whose result has been taken.
+
+    Without it stored tables last until the process ends, as results are read lazily.
+    """
+    before = set(_live)
+    yield
+    for path in set(_live) - before:
+        if not _live[path].kept:
+            _live[path].drop()
 
 
 class Stored:
     """A table written to the shared folder: its lineage is cut there, it outlives
     a lost executor, and its size is known to the planner."""
 
-    def __init__(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = ()):
+    def __init__(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = (), kept: bool = False, counted: bool = False):
         spark = df.sparkSession
+        seen = Observation() if counted else None  # rows, counted while they are written; more if a task ran twice
+        if seen:
+            df = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        self.kept = kept  # outlives the scope it was made in
         ship(spark)
         self.path = f"{shared_dir(spark)}/strataline/{label}-{uuid.uuid4().hex}"
         w = df.write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(self.path)
         self._spark = spark
         self._schema = df.schema
-        atexit.register(self.drop)
+        self.rows = seen.get["n"] if seen else None
+        _live[self.path] = self
 
     def read(self) -> DataFrame:
         return self._spark.read.schema(self._schema).parquet(self.path)
 
     def bytes(self) -> int:
         """Size of the written files."""
-        try:
-            fs, p = self._fs()
-            return int(fs.getContentSummary(p).getLength())
-        except Exception:
-            return 1 << 62
+        fs, p = self._fs()
+        return int(fs.getContentSummary(p).getLength())
+
+    def small(self) -> DataFrame:
+        """The table, marked for broadcast if its files are small enough, else left to the planner."""
+        return F.broadcast(self.read()) if self.bytes() <= BROADCAST_BYTES else self.read()
 
     def count(self) -> int:
         """Number of rows, from the Parquet footers."""
         return self.read().count()
 
     def drop(self) -> None:
-        """Remove the files. Called at exit, and earlier by loops that have moved on."""
-        try:
+        """Remove the files. Called at exit, at the end of a scope, and by loops that have moved on."""
+        if _live.pop(self.path, None) is not None:
             fs, p = self._fs()
             fs.delete(p, True)
-        except Exception:
-            pass
 
     def _fs(self):
         jvm = self._spark.sparkContext._jvm
@@ -123,6 +153,29 @@ class Stored:
         return p.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+@atexit.register
+def _drop_all() -> None:
+    from py4j.protocol import Py4JError, Py4JNetworkError
+
+    for t in list(_live.values()):
+        try:
+            t.drop()
+        except (Py4JError, Py4JNetworkError, OSError, AttributeError):  # the JVM is gone: a local folder goes with the process
+            return
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and times of the files below ``paths``: the state of some tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for x in paths:
+        p = jvm.org.apache.hadoop.fs.Path(x)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            seen += sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(p))
+    return hashlib.md5("|".join(seen).encode()).hexdigest()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files whose plans are no longer referenced.
 
