@@ -35,8 +35,8 @@ def orphans(
     repeated parents count once, parent rows with a null in a compared column match nothing.
     With no parents every (non-null) reference is an orphan; with no refs the result is
     empty. ``parents`` may have columns named like those of ``refs``: only the key
-    columns are read. With one key column and ``salt_hot``, keys that hold a large share
-    of the references are looked up by broadcast of their (bounded number of) parent
+    columns are read. With ``salt_hot``, keys (of one column or several) that hold a large
+    share of the references are looked up by broadcast of their (bounded number of) parent
     rows, so no task gets all rows of a hot key.
     """
     if match not in MATCH:
@@ -63,10 +63,10 @@ def orphans(
             continue
         on = [f"__k{i}" for i, m in enumerate(mask) if not m]
         there = clean.select(*on).dropna(how="any").distinct()
-        if len(on) == 1 and salt_hot:
-            parts.append(lookup(here, there, on[0], "left_anti", hot_keys(here, on[0])))
-        else:
-            parts.append(here.join(there, on, "left_anti"))
+        if len(on) > 1:  # all compared columns as one key
+            whole = F.struct(*on).alias("__key")
+            here, there, on = here.select("*", whole), there.select(whole), ["__key"]
+        parts.append(lookup(here, there, on[0], "left_anti", hot_keys(here, on[0]) if salt_hot else None).select(*tagged.columns))
     out = reduce(DataFrame.unionByName, parts) if parts else tagged.limit(0)
     return out.select(*refs.columns)
 
@@ -95,6 +95,38 @@ def missing_ends(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return orphans(ends(edges), symbols, [("ref", "stable_id")]).drop("ref")
 
 
+def misplaced(edges: DataFrame, symbols: DataFrame, match: str = "simple") -> DataFrame:
+    """(edge_id, nulls): edges whose file holds no symbol with the id of their source.
+
+    The composite reference (file_id, source_id) of an edge names (file_id, stable_id) of a
+    symbol; an edge across files has a null file_id, and an empty source refers to nothing
+    and counts as null. ``nulls`` is the null mask of the reference, by column.
+    """
+    refs = edges.select(F.col("id").alias("edge_id"), "file_id", F.nullif("source_id", F.lit("")).alias("source_id"))
+    found = orphans(refs, symbols, [("file_id", "file_id"), ("source_id", "stable_id")], match)
+    mark = lambda c: F.when(F.col(c).isNull(), "-").otherwise("x")
+    return found.select("edge_id", F.concat(mark("file_id"), mark("source_id")).alias("nulls"))
+
+
+def reference_states(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(missing_end, month, state, ends): ends of edges that had no symbol when their edge was indexed.
+
+    ``missing``: no symbol has the id; ``later``: the first file with such a symbol was
+    indexed after the edge's file, so the reference was an orphan until then. Ends of edges
+    without a known file are compared with no time and can only be missing. Counted per
+    month of ``indexed_at`` of the edge's file.
+    """
+    when = files.groupBy(F.col("id").alias("file_id")).agg(F.max("indexed_at").alias("indexed_at"))
+    first = symbols.select(F.col("stable_id").alias("ref"), "file_id").where(F.col("ref").isNotNull()).join(when, "file_id", "left")
+    first = first.groupBy("ref").agg(F.min("indexed_at").alias("first"))
+    e = ends(edges)
+    known = lookup(e, first.withColumn("known", F.lit(True)), "ref", "left", hot_keys(e, "ref"))
+    timed = lookup(known, when, "file_id", "left", None)
+    state = F.when(F.col("known").isNull(), "missing").when(F.col("first") > F.col("indexed_at"), "later")
+    month = F.date_format(F.timestamp_millis("indexed_at"), "yyyy-MM")
+    return timed.withColumn("state", state).where(F.col("state").isNotNull()).groupBy("missing_end", month.alias("month"), "state").agg(F.count(F.lit(1)).alias("ends"))
+
+
 def missing_ends_by_month(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Orphan ends counted per end and per month of ``indexed_at`` of the edge's file.
 

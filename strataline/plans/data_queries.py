@@ -32,7 +32,17 @@ def p7_report(spark, d):
     return o.missing_ends_by_month(table(spark, d, "edges"), table(spark, d, "symbols"), table(spark, d, "files"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_paths, p6_descendants, p7_found, p7_report)}
+def _misplaced(match):
+    return lambda spark, d: o.misplaced(table(spark, d, "edges"), table(spark, d, "symbols"), match)
+
+
+def p7_states(spark, d):
+    """References that name nothing, and those whose symbol arrived later, per end and month."""
+    return o.reference_states(table(spark, d, "edges"), table(spark, d, "symbols"), table(spark, d, "files"))
+
+
+QUERIES = {f.__name__: f for f in (p7_states, p6_found, p6_paths, p6_descendants, p7_found, p7_report)}
+QUERIES |= {f"p7_composite_{m}": _misplaced(m) for m in o.MATCH}
 
 _TREE = """
 WITH RECURSIVE node AS (
@@ -57,7 +67,24 @@ ends AS (
 )
 """
 
+_REFS = """
+WITH refs AS (SELECT id AS edge_id, file_id, nullif(source_id, '') AS source_id FROM edges),
+marked AS (SELECT *, CASE WHEN file_id IS NULL THEN '-' ELSE 'x' END || CASE WHEN source_id IS NULL THEN '-' ELSE 'x' END AS nulls,
+  EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = refs.file_id AND s.stable_id = refs.source_id) AS both_found,
+  EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = refs.file_id) AS file_found, EXISTS (SELECT 1 FROM symbols s WHERE s.stable_id = refs.source_id) AS source_found FROM refs)
+SELECT edge_id, nulls FROM marked WHERE (nulls = 'xx' AND NOT both_found)"""
+
 ORACLE = {
+    "p7_composite_simple": _REFS,
+    "p7_composite_partial": _REFS + " OR (nulls = 'x-' AND NOT file_found) OR (nulls = '-x' AND NOT source_found)",
+    "p7_composite_full": _REFS + " OR nulls IN ('x-', '-x')",
+    "p7_states": """
+    WITH ends AS (SELECT 'source' AS missing_end, source_id AS ref, file_id FROM edges UNION ALL SELECT 'target', target_id, file_id FROM edges),
+    w AS (SELECT id, max(indexed_at) AS at FROM files GROUP BY 1),
+    k AS (SELECT s.stable_id, min(w.at) AS at FROM symbols s LEFT JOIN w ON w.id = s.file_id GROUP BY 1)
+    SELECT missing_end, strftime(make_timestamp(w.at * 1000), '%Y-%m') AS month, CASE WHEN k.stable_id IS NULL THEN 'missing' ELSE 'later' END AS state, count(*) AS ends
+    FROM ends LEFT JOIN w ON w.id = ends.file_id LEFT JOIN k ON k.stable_id = ends.ref
+    WHERE ref IS NOT NULL AND ref <> '' AND (k.stable_id IS NULL OR k.at > w.at) GROUP BY 1, 2, 3""",
     "p6_found": _TREE.replace("tree(id, root_id", "loose(id) AS (SELECT id FROM node), tree(id, root_id", 1)
     + """, rest AS (SELECT n.* FROM node n WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.id = n.id)),
     walk(id, up) AS (SELECT id, parent FROM rest UNION SELECT w.id, r.parent FROM walk w JOIN rest r ON r.id = w.up),
