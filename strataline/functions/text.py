@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +45,6 @@ def table_name(raw: Column) -> Column:
 
 def sanitize(query: str) -> str:
     """Search text with ASCII letters, digits, underscores and blanks only."""
-    import re
-
     return re.sub(r"[^a-zA-Z0-9_\s]", "", query)
 
 
@@ -82,3 +83,9 @@ def is_component_name(name: Column) -> Column:
     """First character is an upper-case letter that has a lower case."""
     first = F.substring(name, 1, 1)
     return (first == F.upper(first)) & (first != F.lower(first))
+
+
+def line_numbers(text: str):
+    """A function from an offset in ``text`` to its line, counted from 1."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect.bisect_left(breaks, at) + 1

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions.text import line_numbers
+
 SYMBOLS = "path string, qualified_name string, name string, kind string, is_exported boolean, visibility string, line_start int, line_end int, parent string, signature string, doc_comment string"
 EDGES = "path string, source string, target string, kind string, line int, confidence string"
 
@@ -98,6 +100,17 @@ _DECL = {
 }
 _COMPILED = {k: [(re.compile(r"\s*" + p), kind) for p, kind in v] for k, v in _DECL.items()}
 _METHOD = re.compile(r"\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*([\w$]+)\s*(?:<[^(]*>)?\([^;]*\)\s*(?::[^{;]+)?\{")
+# Members of types by language: (kind of the type, pattern, kind of the member)
+_MEMBER = {
+    "typescript": [
+        ("class", r"\s*(?:(?:public|private|protected|static|readonly|override|declare)\s+)*([\w$]+)[?!]?\s*(?::[^;{(]+)?(?:=[^>].*)?;?\s*$", "property"), ("interface", r"\s*(?:readonly\s+)?([\w$]+)\??\s*:\s*[^(]", "property"),
+        ("interface", r"\s*([\w$]+)\??\s*(?:<[^(]*>)?\(", "method"),
+    ],
+    "go": [("class", r"\s*(\w+)\s+[\w*\[\].]+", "property"), ("interface", r"\s*(\w+)\(", "method")],
+    "rust": [("class", r"\s*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:\s*[^:]", "property")],
+}
+_MEMBERS = {k: [(of, re.compile(p), kind) for of, p, kind in v] for k, v in _MEMBER.items()}
+_TEST_CASE = re.compile(r"\s*(?:test|it|describe)(?:\.\w+)?\s*\(\s*(['\"`])(.+?)\1\s*,\s*(?:async\b|function\b|\()")
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_$][\w$]*)\s*\(")
 _KEYWORDS = frozenset("if for while switch catch return function func fn match loop else new typeof await super import".split())
 _IMPORT = {
@@ -122,7 +135,16 @@ def braced(language: str) -> Callable[[str, str], Found]:
                 elif c == "}" and opens:
                     ends[opens.pop()] = i
         stack: list[tuple[int, str, str]] = []
+        body = 0  # last line of the function or method read last: no member stands in it
         for i, line in enumerate(lines, 1):
+            if language == "typescript" and (m := _TEST_CASE.match(source[i - 1])):  # the callback of a test is a function
+                label = f"test:{m[2][:80]}"
+                q = out.symbol(label, "function", False, i, ends.get(i, i), None, label)
+                for k in range(i, ends.get(i, i) + 1):
+                    for c in _CALL.finditer(lines[k - 1]):
+                        if c[1] not in _KEYWORDS and k > i:
+                            out.edge(q, f"{path}::{c[1]}", "calls", k)
+                continue
             while stack and stack[-1][0] < i:
                 stack.pop()
             inner = stack[-1] if stack else None
@@ -142,6 +164,8 @@ def braced(language: str) -> Callable[[str, str], Found]:
                 if i in ends:
                     stack.append((ends[i], q, "impl"))
                 continue
+            if hit is None and inner is not None and i > body and i < inner[0]:
+                hit = next(((m, k) for of, p, k in _MEMBERS[language] if of == inner[2] and (m := p.match(line)) and m[1] not in _KEYWORDS), None)
             if hit is None:
                 continue
             m, kind = hit
@@ -160,6 +184,7 @@ def braced(language: str) -> Callable[[str, str], Found]:
                 above -= 1
             q = out.symbol(name, kind, exported, i, end, parent, source[i - 1].strip().rstrip("{").strip(), "\n".join(note) or None, "export" if exported else None)
             if kind in ("function", "method"):
+                body = max(body, end)
                 for k in range(i, end + 1):
                     for c in _CALL.finditer(lines[k - 1]):
                         if c[1] not in _KEYWORDS and not (k == i and c[1] == name):
@@ -168,8 +193,9 @@ def braced(language: str) -> Callable[[str, str], Found]:
                 out.edge(q, f"{path}::{x[1]}", "extends", i)
             if kind in ("class", "module", "interface") and end > i:
                 stack.append((end, q, kind))
+        number = line_numbers(text)
         for m in _IMPORT[language].finditer(text):
-            out.imports.append((path, next(g for g in m.groups() if g), text.count("\n", 0, m.start()) + 1))
+            out.imports.append((path, next(g for g in m.groups() if g), number(m.start())))
         return out
 
     return run
@@ -185,11 +211,12 @@ _SERVER = re.compile(r"\b(?:app|router|r|mux|server|group|g|e)\.(get|post|put|pa
 def endpoints(text: str | None) -> list[tuple[str, str | None, str, int]]:
     """(path pattern, method or null, role, line) of HTTP calls and routes in a text."""
     out = []
+    line = line_numbers(text or "")
     for m in _CLIENT.finditer(text or ""):
-        out.append((m[2] or m[3], (m[1] or m[4] or "GET").upper(), "client", text.count("\n", 0, m.start()) + 1))
+        out.append((m[2] or m[3], (m[1] or m[4] or "GET").upper(), "client", line(m.start())))
     for m in _SERVER.finditer(text or ""):
         verb = m[1].upper()
-        out.append((m[2], None if verb in ("HANDLEFUNC", "HANDLE", "ANY") else verb, "server", text.count("\n", 0, m.start()) + 1))
+        out.append((m[2], None if verb in ("HANDLEFUNC", "HANDLE", "ANY") else verb, "server", line(m.start())))
     return sorted(out, key=lambda e: e[3])
 
 
@@ -267,6 +294,20 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     return keyed.join(known, "k", "left").drop("k")
 
 
+def go_dispatch(symbols: DataFrame) -> DataFrame:
+    """``interface_dispatch`` of extracted symbols (path, stable_id, name, kind, qualified_name, parent, signature)."""
+    kinds = symbols.select("path", F.col("qualified_name").alias("parent"), F.col("kind").alias("parent_kind")).distinct()
+    m = symbols.where(F.col("path").endswith(".go") & (F.col("kind") == "method")).join(kinds, ["path", "parent"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["fingerprint"] = [fingerprint(s or "", n) for s, n in zip(b["signature"], b["name"])]
+            yield b[["path", "stable_id", "parent_kind", "fingerprint"]]
+
+    rows = m.select("path", "stable_id", "parent_kind", "name", "signature").mapInPandas(run, "path string, stable_id string, parent_kind string, fingerprint string")
+    return interface_dispatch(rows)
+
+
 def interface_dispatch(symbols: DataFrame) -> DataFrame:
     """(source, target) dispatches_to edges of Go: interface methods to same-file methods with one fingerprint.
 

@@ -4,29 +4,51 @@ from __future__ import annotations
 
 import re
 import subprocess
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.session import Stored, shared_dir
+
 MARK = "\x02commit\x02"
 FORMAT = MARK + "%H%x09%an%x09%ae%x09%at%x09%s"
 COMMITS = "hash string, author_name string, author_email string, authored_at long, subject string"
 CHANGES = "commit_hash string, file_path string, status string, rename_from string"
 
 
-def read_log(root: str, since: str | None = None) -> str:
+def log_command(root: str, since: str | None = None) -> list[str]:
     """``git log`` of a repository, of commits after ``since`` if it is an ancestor of HEAD."""
     git = ["git", "-C", root]
     span = []
     if since and subprocess.run([*git, "merge-base", "--is-ancestor", since, "HEAD"], capture_output=True).returncode == 0:
         span = [f"{since}..HEAD"]
-    return subprocess.run([*git, "log", "-M", "-C", "-z", "--name-status", f"--pretty=format:{FORMAT}", *span], capture_output=True, text=True, check=True).stdout
+    return [*git, "log", "-M", "-C", "-z", "--name-status", f"--pretty=format:{FORMAT}", *span]
+
+
+def stream_log(spark: SparkSession, root: str, since: str | None = None) -> str:
+    """Path of a file in the shared folder with the log's text, written as git gives it, piece by piece."""
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_dir(spark)}/strataline/log-{uuid.uuid4().hex}"
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    with subprocess.Popen(log_command(root, since), stdout=subprocess.PIPE) as git:
+        while chunk := git.stdout.read(1 << 20):
+            out.write(bytearray(chunk))
+    out.close()
+    if git.returncode:
+        raise subprocess.CalledProcessError(git.returncode, "git log")
+    return path
 
 
 def parse_changes(body: str) -> list[tuple[str, str, str | None]]:
     """(path, status, rename_from) of a NUL-separated name-status list; copies count as added, other states are skipped."""
     out: list[tuple[str, str, str | None]] = []
-    fields = iter([x for part in body.strip("\0\n").split("\0") for x in part.lstrip("\n").split("\t") if x])
+    body = body.strip("\0\n")
+    parts = [x.lstrip("\n") for x in body.split("\0")] if "\0" in body else re.split(r"[\t\n]", body)  # a tab may be part of a path
+    fields = iter([x for x in parts if x])
     for state in fields:
         if state[0] in "RC" and state[1:].isdigit() or state in ("R", "C"):
             old, new = next(fields, None), next(fields, None)
@@ -53,12 +75,27 @@ def parse_log(raw: str, mark: str = MARK) -> tuple[list[tuple], list[tuple]]:
 
 
 def ingest(spark: SparkSession, root: str, since: str | None = None, relevant: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(commits, file_changes) of a repository; ``relevant`` (path) keeps changes of those paths, also as rename sources."""
-    commits, changes = parse_log(read_log(root, since))
-    c, f = spark.createDataFrame(commits, COMMITS), spark.createDataFrame(changes, CHANGES)
+    """(commits, file_changes) of a repository; ``relevant`` (path) keeps changes of those paths, also as rename sources.
+
+    The log is streamed into the shared folder and parsed by the executors, one commit a row.
+    """
+    pieces = spark.read.option("lineSep", MARK).text(stream_log(spark, root, since))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for raw in b["value"]:
+                commits, changes = parse_log(raw or "")
+                rows += [(*c, [{"file_path": p, "status": s, "rename_from": r} for _, p, s, r in changes]) for c in commits]
+            yield pd.DataFrame(rows, columns=["hash", "author_name", "author_email", "authored_at", "subject", "changes"])
+
+    parsed = Stored(pieces.mapInPandas(parse, COMMITS + ", changes array<struct<file_path:string,status:string,rename_from:string>>"), "log").read()
+    c = parsed.drop("changes")
+    f = parsed.select(F.col("hash").alias("commit_hash"), F.explode("changes").alias("x")).select("commit_hash", "x.file_path", "x.status", "x.rename_from")
     if relevant is not None:
-        p = relevant.select(F.col("path"))
-        f = f.join(p, (f.file_path == p.path) | (f.rename_from == p.path), "left_semi")
+        p = relevant.select(F.col("path").alias("file_path")).distinct()
+        old = f.join(p, "file_path", "left_anti").join(p.withColumnRenamed("file_path", "rename_from"), "rename_from", "left_semi")
+        f = f.join(p, "file_path", "left_semi").unionByName(old)
     return c, f
 
 

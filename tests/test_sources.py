@@ -55,7 +55,7 @@ def test_extractors(spark):
     ts = extract.REGISTRY["typescript"]("a.ts", "import {q} from './q'\n// Doc\nexport class S extends T {\n  run(x: number): void { help('}') }\n}\nconst h = (a) => a\nenum E { A }\n")
     assert [(s[2], s[3], s[4]) for s in ts.symbols] == [("S", "class", True), ("run", "method", True), ("h", "function", False), ("E", "enum", False)]
     go = extract.REGISTRY["go"]("a.go", 'package p\nimport "fmt"\ntype R struct {\n  a int\n}\nfunc (r *R) Do(x int) error {\n  return help(x)\n}\n')
-    assert [(s[1], s[3]) for s in go.symbols] == [("a.go::R", "class"), ("a.go::R.Do", "method")]
+    assert [(s[1], s[3]) for s in go.symbols] == [("a.go::R", "class"), ("a.go::R.a", "property"), ("a.go::R.Do", "method")]
     rs = extract.REGISTRY["rust"]("a.rs", "use a::b;\npub trait T {\n  fn t(&self);\n}\nimpl T for S {\n  pub fn new() -> S { make() }\n}\n")
     assert ("a.rs::S.new", "method") in [(s[1], s[3]) for s in rs.symbols] and any(e[3] == "type_ref" for e in rs.edges)
     assert extract.fingerprint("func (r R) Do(a int, b map[string]int) (int, error)", "Do") == "Do/2/2"
