@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataline.operators import vector
-from strataline.plans import git, risk, search, structure, symbols
+from strataline.operators import embedding, vector
+from strataline.plans import git, risk, search, structure, surfaces, symbols
 from strataline.tables import Tables
 
 
@@ -28,7 +28,53 @@ class Project:
         return symbols.resolve(self.t, query)
 
     def search(self, query: str, exact: bool = False, **kw) -> DataFrame:
-        return symbols.search_exact(self.t, query, **kw) if exact else search.full_text(self.t, query, **kw)
+        return surfaces.find(self.t, query, exact, **kw)
+
+    def search_everywhere(self, part: str, limit: int = 20) -> DataFrame:
+        return surfaces.find_everywhere(self.t, part, limit)
+
+    def ask(self, query: str, encoder=None, k: int = 10) -> DataFrame:
+        """Symbols nearest in meaning to a text; without an encoder by hashed words."""
+        return search.by_meaning(self.t, query, encoder or embedding.hashed(), k)
+
+    def symbol_detail(self, query: str) -> dict[str, DataFrame]:
+        return surfaces.symbol_detail(self.t, self._id(query))
+
+    def file_article(self, path: str) -> dict[str, DataFrame]:
+        return surfaces.file_article(self.t, path)
+
+    def overview(self, query: str, depth: int = 2, limit: int = 10) -> dict[str, DataFrame]:
+        return surfaces.overview(self.t, self._id(query), depth, limit)
+
+    def dependency_rows(self, query: str, direction: str = "upstream") -> DataFrame:
+        return surfaces.dependency_rows(self.t, self._id(query), direction)
+
+    def dependency_stats(self, query: str, direction: str = "upstream", depth: int = 3) -> DataFrame:
+        return surfaces.dependency_stats(self.t, self._id(query), direction, depth)
+
+    def affected_tests(self, query: str, depth: int = 5) -> DataFrame:
+        return surfaces.blast_tests(self.t, self._id(query), depth)
+
+    def test_coverage(self, query: str) -> DataFrame:
+        return surfaces.test_coverage(self.t, self._id(query))
+
+    def api_trace(self, pattern: str, role: str | None = None) -> DataFrame:
+        return surfaces.api_trace(self.t.raw("api_endpoints"), self.t, pattern, role)
+
+    def show_channel(self, kind: str, value: str) -> DataFrame:
+        return structure.show_channel(self.t.raw("channel_hits"), self.t, kind, value)
+
+    def subsystem(self, name: str) -> DataFrame:
+        return surfaces.subsystem_detail(self.t, name)
+
+    def subsystem_neighbours(self, name: str) -> DataFrame:
+        return surfaces.subsystem_neighbours(self.t, name)
+
+    def symbol_subsystem(self, query: str) -> DataFrame:
+        return surfaces.symbol_subsystem(self.t, self._id(query))
+
+    def used_elsewhere(self, project: str, query: str, depth: int = 2) -> DataFrame:
+        return surfaces.fan_out(self.t, surfaces.project_edges(self.t), project, self._id(query), depth)
 
     def search_content(self, literal: str, **kw) -> DataFrame:
         return search.content(self.t, literal, **kw)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.session import Stored, free_shuffles
 
 
+#: Ways to one node on one level that are followed, for each path asked for.
+WAYS = 4
+
+
 def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, ready: bool = False) -> DataFrame:
     """(key, id, depth): nodes reachable from the seeds, with their least distance.
 
@@ -63,7 +67,11 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_paths: int = 5,
     Paths grow level by level until at least ``max_paths`` are complete or ``max_depth``
     edges are reached; of the longest level the smallest paths by node ids are kept. Only
     nodes on some way to the target within the depth left are entered: the distances to the
-    target are found first, so dead branches never grow.
+    target are found first, so dead branches never grow. Of the ways to one node on one
+    level the WAYS x ``max_paths`` smallest are kept, so a level has at most that many rows
+    for each node. This is exact for the shortest paths, as a smaller way to a node makes a
+    smaller path; where there are fewer of them than asked for, a longer path may be missed
+    if all kept ways to one of its nodes cross the rest of it.
     """
     spark = edges.sparkSession
     e = Stored(edges.select("src", "dst").dropna(how="any").where(F.col("src") != F.col("dst")).distinct(), "edges")
@@ -80,7 +88,8 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_paths: int = 5,
             .join(dist.read().where(F.col("left") <= max_depth - depth), "dst")
             .select(F.concat("path", F.array("dst")).alias("path"))
         )
-        level = Stored(step, "paths")
+        place = Window.partitionBy(F.element_at("path", -1)).orderBy("path")
+        level = Stored(step.withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= WAYS * max_paths).drop("nth"), "paths")
         hit = level.read().where(F.element_at("path", -1) == target)
         n = hit.count()
         if n:
@@ -93,34 +102,34 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_paths: int = 5,
     return done if done is not None else spark.createDataFrame([], "path array<string>, length int")
 
 
-def communities(weighted: DataFrame, rounds: int = 20) -> DataFrame:
+def communities(weighted: DataFrame) -> DataFrame:
     """(id, label): communities of a weighted undirected graph (a, b, weight).
 
     Deterministic label propagation: every node takes the label with the largest weight
     among its neighbours and itself, ties to the smallest label. Nodes of alternate hash
     parity move in alternate rounds, which keeps bipartite parts from oscillating. A round
     aggregates (node, label) weights map-side, so hubs are no hot spot. Ends when no label
-    moves, or after ``rounds``.
+    moves in two rounds, or when a round ends as an earlier one of its parity did.
     """
     sym = weighted.select("a", "b", "weight").unionByName(weighted.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     g = Stored(sym.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "community-edges")
     now = Stored(g.read().select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
-    still = 0
-    for r in range(rounds):
+    still, r, seen = 0, 0, set()
+    while True:
         lab = now.read()
         votes = g.read().join(lab.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("next"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
         moved = lab.join(best, "id").select("id", F.when(turn, F.col("next")).otherwise(F.col("label")).alias("label"), (turn & (F.col("next") != F.col("label"))).alias("moved"))
         step = Stored(moved, "labels")
-        n = step.read().where("moved").count()
+        state = step.read().agg(F.count_if("moved").alias("n"), F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")).alias("h")).first()
         now.drop()
-        now = Stored(step.read().select("id", "label"), "labels")
-        step.drop()
-        still = still + 1 if n == 0 else 0
-        if still == 2:
-            break
-    return now.read()
+        now = step
+        still = still + 1 if not state["n"] else 0
+        if still == 2 or (r % 2, state["h"]) in seen and state["n"]:
+            return now.read().select("id", "label")
+        seen.add((r % 2, state["h"]))
+        r += 1
 
 
 def modularity(weighted: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataline.plans import data_queries, git, risk, search, structure, symbols
+from strataline.plans import data_queries, git, risk, search, structure, surfaces, symbols
 
-MODULES = (data_queries, git, risk, symbols, structure, search)
+MODULES = (data_queries, git, risk, symbols, structure, search, surfaces)
 FLAGSHIP = "risk_hotspots_top"
 
 

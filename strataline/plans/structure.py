@@ -112,6 +112,18 @@ def channels(t: Tables) -> DataFrame:
     return channel_hits(t).groupBy("value").agg(F.count_distinct("symbol_stable_id").alias("symbols"), F.count(F.lit(1)).alias("hits")).where(F.col("symbols") >= 2)
 
 
+def listed_channels(hits: DataFrame, kind: str | None = None) -> DataFrame:
+    """(kind, value, symbols, hits) of linked facts (kind, value, symbol_stable_id): values that two symbols and more share."""
+    x = hits if kind is None else hits.where(F.col("kind") == kind)
+    return x.groupBy("kind", "value").agg(F.count_distinct("symbol_stable_id").alias("symbols"), F.count(F.lit(1)).alias("hits")).where(F.col("symbols") >= 2)
+
+
+def show_channel(hits: DataFrame, t: Tables, kind: str, value: str) -> DataFrame:
+    """(stable_id, name, path, line, detail): every place of one channel, by path and line."""
+    x = hits.where((F.col("kind") == kind) & (F.col("value") == value)).select(F.col("symbol_stable_id").alias("stable_id"), "line", F.get_json_object("metadata", "$.detail").alias("detail"))
+    return x.join(t.placed.select("stable_id", "name", "path"), "stable_id").select("stable_id", "name", "path", "line", "detail").orderBy("path", "line")
+
+
 def endpoint_links(endpoints: DataFrame, same_method: bool = True) -> DataFrame:
     """Client and server endpoints on one route. ``same_method``: known methods must be equal (links within a
     repository); without it methods and path parameters as in links between projects: only slashes and case."""

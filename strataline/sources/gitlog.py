@@ -99,6 +99,15 @@ def ingest(spark: SparkSession, root: str, since: str | None = None, relevant: D
     return c, f
 
 
+def diff(spark: SparkSession, root: str, since: str) -> DataFrame:
+    """(path, change, old_path): what differs between a commit and the work tree, untracked files included, as ``discovery.changes``."""
+    run = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, check=True).stdout
+    names = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed"}
+    rows = [(p, names[s], old if s == "R" else None) for p, s, old in parse_changes(run("diff", "--name-status", "-M", "-z", since))]
+    rows += [(p, "added", None) for p in run("ls-files", "--others", "--exclude-standard", "-z").split("\0") if p]
+    return spark.createDataFrame(rows, "path string, change string, old_path string")
+
+
 def parse_mailmap(text: str) -> list[tuple[str | None, str, str, str]]:
     """(commit name or null, commit address, name, address) of the four line forms; later lines win."""
     rows = {}
