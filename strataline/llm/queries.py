@@ -117,7 +117,23 @@ g AS (SELECT x.p, x.file_path AS file_a, y.file_path AS file_b, count(*) AS n
 _TOGETHER_FROM = """ FROM g JOIN n ON n.p = g.p JOIN a u ON u.p = g.p AND u.file_path = file_a JOIN a v ON v.p = g.p AND v.file_path = file_b
 WHERE g.n >= 4 AND g.n * total >= 4 * u.a * v.a"""
 
+_LEAKS = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(unnest([intent, expected])), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 12], ' ') AS passage FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS passage FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (passage)"""
+
+_SIMILAR = """
+WITH e AS (SELECT symbol_id, min(embedding) AS v FROM symbol_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+x AS (SELECT m.symbol_stable_id AS id, min(e.v)::DOUBLE[] AS v FROM embedding_meta m JOIN e USING (symbol_id) GROUP BY 1),
+c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM x a JOIN x b ON a.id <> b.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM c WHERE s >= 0.9)
+SELECT DISTINCT least(a, b) AS stable_id_a, greatest(a, b) AS stable_id_b FROM t WHERE r <= 5"""
+
 ORACLE = {
+    "p5_found": _SIMILAR,
+    "p8_found": _LEAKS,
     "p2_found": _TOGETHER + "SELECT file_a, file_b" + _TOGETHER_FROM,
     "p2_lift": _TOGETHER + "SELECT file_a, file_b, g.n, round(g.n * total / (u.a * v.a), 6) AS lift" + _TOGETHER_FROM,
 }
