@@ -27,16 +27,26 @@ def hot_keys(left: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame:
     return counts.where(F.col("__n") >= least).orderBy(F.desc("__n"), key).limit(most).select(key)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None, once: bool = False) -> DataFrame:
     """``left`` join ``right`` on ``key`` where ``right`` has each key at most once.
 
     ``how`` is inner, left, left_semi or left_anti. With ``hot`` (from ``hot_keys``) the
     hot keys' rows are joined by broadcasting their at most |hot| rows of ``right``, and
     stay where they are; only the rest is shuffled. Null keys match nothing and are kept
-    by left and left_anti.
+    by left and left_anti. ``left`` is evaluated twice, which suits a stored table; with
+    ``once`` it is evaluated once: the hot rows are shuffled too, but spread over all tasks,
+    and each task gets the hot keys' rows of ``right``.
     """
     if hot is None:
         return left.join(right, key, how)
+    if once:
+        most = partitions(left.sparkSession)
+        mark = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+        is_hot = F.col("__hot").isNotNull()
+        spread = left.join(mark, key, "left").withColumn("__at", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(most)).cast("int")).otherwise(0)).drop("__hot")
+        many = F.when(is_hot, F.sequence(F.lit(0), F.lit(most - 1))).otherwise(F.array(F.lit(0)))
+        there = right.join(mark, key, "left").withColumn("__at", F.explode(many)).drop("__hot")
+        return spread.join(there, [key, "__at"], how).drop("__at")
     small = F.broadcast(hot.withColumn("__hot", F.lit(True)))
     tagged = left.join(small, key, "left")
     cold = tagged.where(F.col("__hot").isNull()).drop("__hot").join(right, key, how)

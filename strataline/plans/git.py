@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.plans import starts
 from strataline.tables import Tables, with_views
 
 
@@ -101,7 +102,7 @@ def _q(f, **kw):
 QUERIES = {
     "git_churn": _q(churn, limit=None),
     "git_churn_top": _q(churn),
-    "git_churn_prefix_since": _q(churn, prefix="vellum-relay/", since=1_600_000_000_000, include_tests=True, limit=None),
+    "git_churn_prefix_since": lambda s, d: churn(t := Tables(s, d), prefix=starts.largest_project(t) + "/", since=1_600_000_000_000, include_tests=True, limit=None),
     "git_file_history": _q(file_history),
     "git_contributors": _q(contributors),
     "git_contributors_per_file": _q(contributors, per_file=True),
@@ -127,7 +128,7 @@ WHERE """ + _NOT_TEST.format("file_a") + " AND " + _NOT_TEST.format("file_b")  #
 ORACLE = {
     "git_churn": with_views(_CHURN.format(where=_NOT_TEST.format("x.file_path"))),
     "git_churn_top": with_views(_CHURN.format(where=_NOT_TEST.format("x.file_path")) + " ORDER BY commits DESC, last_touched_at DESC, file_path LIMIT 50"),
-    "git_churn_prefix_since": with_views(_CHURN.format(where="lower(x.file_path) LIKE 'vellum-relay/%' AND authored_at >= 1600000000000")),
+    "git_churn_prefix_since": with_views(_CHURN.format(where="starts_with(lower(x.file_path), lower((SELECT project FROM bp)) || '/') AND authored_at >= 1600000000000")),
     "git_file_history": with_views(
         "SELECT h.file_path, h.commit_hash, c.author_name, c.author_email, c.authored_at, c.subject, h.status, h.rename_from FROM ch h JOIN cc c ON c.hash = h.commit_hash"
     ),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline import schemas as S
 from strataline.operators import graph
+from strataline.plans import starts
 from strataline.tables import Tables, with_views
 
 #: Places of entry points below the project, as SQL LIKE patterns: their top-level functions count as used.
@@ -258,7 +259,7 @@ QUERIES = {
     "risk_dead_code": _q(dead_code),
     "risk_dead_code_stats": lambda s, d: dead_code(Tables(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     "risk_dead_code_handwritten": lambda s, d: dead_code(t := Tables(s, d), exclude=generated_files(t)),
-    "risk_internal_only": _q(internal_only, within="vellum-relay/"),
+    "risk_internal_only": lambda s, d: internal_only(t := Tables(s, d), starts.largest_project(t) + "/"),
     "risk_hotspots": _q(hotspots, limit=None),
     "risk_hotspots_top": _q(hotspots),
     "risk_hot_fragile": _q(hot_fragile, limit=None),
@@ -324,8 +325,8 @@ ORACLE = {
     "risk_dead_code_stats": _sql("SELECT kind, count(*) AS n FROM dead GROUP BY 1"),
     "risk_dead_code_handwritten": _sql("SELECT * EXCLUDE (file_id) FROM dead WHERE file_id NOT IN (SELECT file_id FROM gen)"),
     "risk_internal_only": _sql(
-        f"""SELECT stable_id, name, kind, path, line_start FROM sf WHERE lower(path) LIKE 'vellum-relay/%' AND NOT is_test AND kind IN {_KINDS(S.DEAD_KINDS)} AND name <> 'constructor'
-        AND NOT EXISTS (SELECT 1 FROM ec e JOIN sf o ON o.stable_id = e.source_id WHERE e.target_id = sf.stable_id AND e.kind IN {_KINDS(S.LIVENESS_KINDS)} AND lower(o.path) NOT LIKE 'vellum-relay/%')"""
+        f"""SELECT stable_id, name, kind, path, line_start FROM sf WHERE starts_with(lower(path), lower((SELECT project FROM bp)) || '/') AND NOT is_test AND kind IN {_KINDS(S.DEAD_KINDS)} AND name <> 'constructor'
+        AND NOT EXISTS (SELECT 1 FROM ec e JOIN sf o ON o.stable_id = e.source_id WHERE e.target_id = sf.stable_id AND e.kind IN {_KINDS(S.LIVENESS_KINDS)} AND NOT starts_with(lower(o.path), lower((SELECT project FROM bp)) || '/'))"""
     ),
     "risk_hotspots": _sql("SELECT * FROM hot"),
     "risk_hotspots_top": _sql("SELECT * FROM hot ORDER BY score DESC, stable_id LIMIT 20"),
@@ -339,6 +340,14 @@ ORACLE = {
         + f""" SELECT n.id AS stable_id, s.name, s.path, n.depth, CASE n.depth WHEN 1 THEN 'direct' ELSE 'transitive' END AS tier, regexp_matches(s.path, '{BLAST_TEST}') AS affected_test
         FROM near n JOIN sf s ON s.stable_id = n.id WHERE n.depth > 0 AND n.id NOT IN (SELECT id FROM members)"""
     ),
+    "graph_trace": _sql(
+        _walk_sql(S.FAST_TRACE_KINDS, True, 4)
+        + f""", far AS (SELECT id FROM near ORDER BY depth DESC, id LIMIT 1), hop AS (SELECT DISTINCT source_id AS a, target_id AS b FROM ec WHERE kind IN {_KINDS(S.FAST_TRACE_KINDS)} AND source_id <> target_id),
+        back(id, n) AS (SELECT id, 0 FROM busy UNION SELECT h.a, k.n + 1 FROM back k JOIN hop h ON h.b = k.id WHERE k.n < 6), togo AS (SELECT id, min(n) AS n FROM back GROUP BY 1),
+        way(path, tip, n) AS (SELECT [id], id, 0 FROM far UNION ALL SELECT list_append(w.path, h.b), h.b, w.n + 1 FROM way w JOIN hop h ON h.a = w.tip JOIN togo g ON g.id = h.b
+          WHERE w.n + 1 + g.n <= 6 AND NOT list_contains(w.path, h.b) AND w.tip <> (SELECT id FROM busy))
+        SELECT array_to_string(path, '>') AS path, n AS length FROM way WHERE tip = (SELECT id FROM busy) AND n > 0 ORDER BY n, way.path LIMIT 5"""
+    ),
     "graph_flow_roots": _sql("SELECT stable_id, name, path FROM callable WHERE stable_id NOT IN (SELECT target_id FROM ec WHERE kind = 'calls' AND target_id IS NOT NULL)"),
     "graph_flows": _sql(
         """, fr AS (SELECT stable_id FROM callable WHERE stable_id NOT IN (SELECT target_id FROM ec WHERE kind = 'calls' AND target_id IS NOT NULL)),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataline.operators import embedding
 from strataline.operators import text as T
 from strataline.operators import vector as V
+from strataline.plans import starts
 from strataline.tables import Tables, with_views
 
 # Kinds that are compared for duplicates, least length of their text
@@ -118,8 +119,8 @@ QUERIES = {
     "vector_duplicates": _q(duplicates),
     "vector_duplicates_l2": _q(duplicates, metric="l2", least=0.7),
     "vector_stale": _q(stale_embeddings),
-    "text_search": _q(full_text, query="filter token"),
-    "text_search_all": _q(full_text, query="oldest fir", limit=None),
+    "text_search": lambda s, d: full_text(t := Tables(s, d), starts.spoken(t)),
+    "text_search_all": lambda s, d: full_text(t := Tables(s, d), starts.spoken(t).split(" ")[0][:3], limit=None),
     "text_content": _q(content, literal="return"),
     "text_content_capped": _q(content, literal="return", language="go", per_file=3),
     "text_content_counts": _q(content_counts, literal="return"),

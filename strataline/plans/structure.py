@@ -9,7 +9,7 @@ from strataline import schemas as S
 from strataline.functions import text as fx
 from strataline.operators import graph
 from strataline.operators import relational as R
-from strataline.plans import git
+from strataline.plans import git, starts
 from strataline.tables import Tables, with_views
 
 
@@ -215,7 +215,7 @@ QUERIES = {
     "channels_list": _q(channels),
     "federation_name_links": _q(name_links),
     "federation_project_links": _q(project_links),
-    "federation_linked_projects": _q(linked_projects, start="vellum-relay"),
+    "federation_linked_projects": lambda s, d: linked_projects(t := Tables(s, d), starts.largest_project(t)),
     "federation_edges": _q(cross_project_fanout),
 }
 
@@ -267,7 +267,7 @@ ORACLE = {
     "federation_project_links": _s("SELECT * FROM pl"),
     "federation_linked_projects": _s(
         """, l AS (SELECT source_project AS a, target_project AS b FROM pl UNION SELECT target_project, source_project FROM pl),
-        w(project, hops) AS (SELECT 'vellum-relay', 0 UNION SELECT l.b, w.hops + 1 FROM w JOIN l ON l.a = w.project WHERE w.hops < 20)
+        w(project, hops) AS (SELECT project, 0 FROM bp UNION SELECT l.b, w.hops + 1 FROM w JOIN l ON l.a = w.project WHERE w.hops < 20)
         SELECT project, min(hops) AS hops FROM w GROUP BY 1""", True
     ),
     "federation_edges": _s(

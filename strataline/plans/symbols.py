@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataline import schemas as S
 from strataline.operators import relational as R
 from strataline.operators.skew import hot_keys, lookup
+from strataline.plans import starts
 from strataline.tables import Tables, with_views
 
 
@@ -140,8 +141,8 @@ def _q(f, **kw):
 
 
 QUERIES = {
-    "symbols_search_exact": _q(search_exact, name="filter_commit_token", limit=20),
-    "symbols_names_by_kinds": _q(names_by_kinds, names=["queueTokenFolio", "filter_commit_token"], kinds=["function", "method"]),
+    "symbols_search_exact": lambda s, d: search_exact(t := Tables(s, d), (starts.common_names(t) or [""])[0]),
+    "symbols_names_by_kinds": lambda s, d: names_by_kinds(t := Tables(s, d), starts.common_names(t), ["function", "method"]),
     "symbols_top_exported": _q(top_exported),
     "symbols_hydrated": _q(top_exported, limit=None),
     "symbols_callers": _q(call_sites, inbound=True, kind="calls"),
@@ -152,7 +153,7 @@ QUERIES = {
     "symbols_status": _q(status),
     "symbols_freshness": _q(freshness),
     "symbols_ranked": _q(ranked),
-    "symbols_resolve": _q(resolve, query="BundleTicket:queueTokenFolio"),
+    "symbols_resolve": lambda s, d: resolve(t := Tables(s, d), starts.placed_name(t)),
     "symbols_natural_keys": _q(natural_keys),
     "symbols_overview": _q(overview),
     "symbols_enclosing": _q(enclosing),
@@ -167,8 +168,8 @@ _SITES = """SELECT e.{own} AS stable_id, e.{other} AS other_id, s.name AS other_
 FROM ec e JOIN sf s ON s.stable_id = e.{other}"""
 
 ORACLE = {
-    "symbols_search_exact": with_views(_HYD + "s.name = 'filter_commit_token' AND NOT s.is_test ORDER BY s.is_exported DESC, s.name, s.stable_id LIMIT 20"),
-    "symbols_names_by_kinds": with_views("SELECT stable_id, name, kind, path FROM sf WHERE name IN ('queueTokenFolio', 'filter_commit_token') AND kind IN ('function', 'method') AND NOT is_test"),
+    "symbols_search_exact": with_views(_HYD + "s.name = (SELECT name FROM nm WHERE nth = 1) AND NOT s.is_test ORDER BY s.is_exported DESC, s.name, s.stable_id LIMIT 20"),
+    "symbols_names_by_kinds": with_views("SELECT stable_id, name, kind, path FROM sf WHERE name IN (SELECT name FROM nm) AND kind IN ('function', 'method') AND NOT is_test"),
     "symbols_top_exported": with_views(_TOP + " ORDER BY dependent_count DESC, s.name, s.stable_id LIMIT 8"),
     "symbols_hydrated": with_views(_TOP),
     "symbols_callers": with_views(_SITES.format(own="target_id", other="source_id") + " WHERE e.kind = 'calls'"),
@@ -186,8 +187,8 @@ ORACLE = {
         coalesce(list_position(['class', 'interface', 'function', 'type', 'method', 'enum', 'variable', 'module', 'property'], kind), 10), length(qualified_name), stable_id) AS r FROM sf) WHERE r = 1"""
     ),
     "symbols_resolve": with_views(
-        """WITH x AS (SELECT *, 0 AS tier FROM sf WHERE lower(path) LIKE '%bundleticket%' AND name = 'queueTokenFolio' UNION ALL SELECT *, 1 FROM sf WHERE name = 'BundleTicket:queueTokenFolio'
-        UNION ALL SELECT *, 2 FROM sf WHERE lower(qualified_name) LIKE '%bundleticket:queuetokenfolio%')
+        """WITH x AS (SELECT sf.*, 0 AS tier FROM sf, pn WHERE contains(lower(path), lower(pn.file)) AND sf.name = pn.name UNION ALL SELECT sf.*, 1 FROM sf, pn WHERE sf.name = pn.file || ':' || pn.name
+        UNION ALL SELECT sf.*, 2 FROM sf, pn WHERE contains(lower(qualified_name), lower(pn.file || ':' || pn.name)))
         SELECT stable_id, name, qualified_name, kind, path, tier FROM x ORDER BY tier, is_exported DESC, parent_id IS NOT NULL, length(qualified_name), stable_id LIMIT 1"""
     ),
     "symbols_natural_keys": with_views("SELECT stable_id, substr(sha256(path || ':' || kind || ':' || qualified_name), 1, 32) AS computed_id, substr(sha256(path || ':' || kind || ':' || qualified_name), 1, 32) = stable_id AS equal FROM sf"),

@@ -121,7 +121,10 @@ cc AS (SELECT DISTINCT * FROM commits),
 ch AS (SELECT DISTINCT commit_hash, file_path, status, rename_from FROM file_changes),
 sf AS (SELECT s.*, f.path, f.is_test FROM sc s JOIN fc f ON f.id = s.file_id),
 im AS (SELECT DISTINCT a.file_id AS source_file_id, b.file_id AS target_file_id FROM ec e JOIN sc a ON a.stable_id = e.source_id
-       JOIN sc b ON b.stable_id = e.target_id WHERE e.kind <> 'contains' AND a.file_id <> b.file_id)
+       JOIN sc b ON b.stable_id = e.target_id WHERE e.kind <> 'contains' AND a.file_id <> b.file_id),
+bp AS (SELECT split_part(path, '/', 1) AS project FROM fc GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+nm AS (SELECT name, row_number() OVER (ORDER BY n DESC, name) AS nth FROM (SELECT name, count(*) AS n FROM sf WHERE NOT is_test AND kind IN ('function', 'method') GROUP BY 1) ORDER BY n DESC, name LIMIT 2),
+pn AS (SELECT regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') AS file, name FROM sf WHERE NOT is_test AND kind IN ('function', 'method') AND name = (SELECT name FROM nm WHERE nth = 1) ORDER BY stable_id LIMIT 1)
 """
 
 

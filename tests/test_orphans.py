@@ -37,6 +37,16 @@ def test_hot_lookup_equals_plain_join(spark, how):
     left = spark.createDataFrame([("h", i) for i in range(50)] + [("c", 1), ("m", 2), (None, 3)] + [("g", i) for i in range(30)], "k string, v int")
     right = spark.createDataFrame([("h", "H"), ("c", "C")], "k string, w string")
     hot = hot_keys(left, "k", least=10)
-    a = lookup(left, right, "k", how, hot).collect()
     b = left.join(right, "k", how).collect()
-    assert sorted(map(str, a)) == sorted(map(str, b))
+    for once in (False, True):
+        a = lookup(left, right, "k", how, hot, once).collect()
+        assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_pairs_within_hot_groups(spark, monkeypatch):
+    from strataline.operators import skew
+
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (10,))
+    rows = [("h", i) for i in range(20)] + [("c", 1), ("c", 2), (None, 3)]
+    got = [(r["k"], r["v_a"], r["v_b"]) for r in skew.pairs_within(spark.createDataFrame(rows, "k string, v int"), "k").collect()]
+    assert sorted(got) == sorted((k, a, b) for k, a in rows for j, b in rows if k == j and k)
