@@ -340,7 +340,7 @@ def _exact(c: Collection, pairs: DataFrame) -> DataFrame:
     norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))
     one, two = v.select(F.col("id").alias("a"), F.col("v").alias("va")), v.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     with_a = lookup(pairs, one, "a", "inner", hot_keys(pairs, "a"))
-    both = lookup(with_a, two, "b", "inner", hot_keys(pairs, "b"))
+    both = lookup(with_a, two, "b", "inner", hot_keys(pairs, "b"), once=True)
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return both.select("a", "b", (dot / (norm("va") * norm("vb"))).alias("sim"))
 
