@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.session import Stored, partitions
+from strataline.session import BROADCAST_BYTES, Stored, partitions
 
 #: Where the public tokenizer's ranks lie, and its split pattern, unless given.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -190,7 +190,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
         "source", F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double")).alias("x"), F.ceil(F.col("documents") / NODE_ROWS).alias("nodes")
     )
     width = shares.read().agg(F.max(F.ceil(F.col("documents") / NODE_ROWS))).first()[0] or 1
-    d = c.join(F.broadcast(wanted), "source").withColumn("base", F.floor(F.col("x") + F.lit(1e-9)))
+    d = c.join(F.broadcast(wanted) if shares.bytes() <= BROADCAST_BYTES else wanted, "source").withColumn("base", F.floor(F.col("x") + F.lit(1e-9)))
     d = d.withColumn("p", F.greatest(F.col("x") - F.col("base"), F.lit(0.0)))
     coin = (F.pmod(F.xxhash64("uid", "tokens", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("coin")
     # neighbours in size are paired, so little mass moves; large ones first, so that a small one is left over
