@@ -133,10 +133,6 @@ class Stored:
         fs, p = self._fs()
         return int(fs.getContentSummary(p).getLength())
 
-    def small(self) -> DataFrame:
-        """The table, marked for broadcast if its files are small enough, else left to the planner."""
-        return F.broadcast(self.read()) if self.bytes() <= BROADCAST_BYTES else self.read()
-
     def count(self) -> int:
         """Number of rows, from the Parquet footers."""
         return self.read().count()
