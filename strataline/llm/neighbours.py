@@ -27,7 +27,7 @@ SPAN = 16_384
 TREES = 8
 #: Neighbours kept in the graph, neighbours each node brings to a join from either direction,
 #: neighbours a leaf contributes to one row, and rounds at most, if close neighbours are asked for ...
-CLOSE = {"keep": 20, "join": 10, "per": 10, "rounds": 8}
+CLOSE = {"keep": 48, "join": 24, "per": 24, "rounds": 12}
 #: ... and if neighbours of any similarity are.
 ANY = {"keep": 64, "join": 32, "per": 32, "rounds": 12}
 #: Similarity from which neighbours are close.
