@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.operators.skew import hot_keys, lookup
 from strataline.session import Stored, free_shuffles
 
 
@@ -103,33 +104,85 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_paths: int = 5,
 
 
 def communities(weighted: DataFrame) -> DataFrame:
-    """(id, label): communities of a weighted undirected graph (a, b, weight).
-
-    Deterministic label propagation: every node takes the label with the largest weight
-    among its neighbours and itself, ties to the smallest label. Nodes of alternate hash
-    parity move in alternate rounds, which keeps bipartite parts from oscillating. A round
-    aggregates (node, label) weights map-side, so hubs are no hot spot. Ends when no label
-    moves in two rounds, or when a round ends as an earlier one of its parity did.
+    """(id, label): communities of a weighted undirected graph (a, b, weight), by the Louvain method.
+
+    Local moving until modularity no longer grows, then every community becomes one node,
+    and again, until a level gains nothing. Nodes move side by side: in each round half of
+    them, by hash, so that neighbours do not swap places for ever; of all rounds of a level
+    the one of greatest modularity holds. Ties go to the smaller label, so the result does
+    not depend on how rows are stored. A round aggregates (node, label) weights map-side and
+    looks labels of hubs up by broadcast; the driver holds one number per round.
     """
     sym = weighted.select("a", "b", "weight").unionByName(weighted.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     g = Stored(sym.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "community-edges")
-    now = Stored(g.read().select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
-    still, r, seen = 0, 0, set()
+    nodes = g.read().groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")).withColumn("inner", F.lit(0.0))
+    nodes = Stored(nodes, "community-nodes")
+    m2 = nodes.read().agg(F.sum("k")).first()[0]
+    found = Stored(nodes.read().select("id", F.col("id").alias("label")), "communities")
+    if not m2:
+        return found.read()
+    reached = -1.0
     while True:
+        labels, quality = _local_moving(g.read(), nodes.read(), m2)
+        if quality <= reached + 1e-7:
+            return found.read()
+        reached = quality
+        at = labels.read()
+        step = Stored(found.read().join(at.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")), "communities")
+        found.drop()
+        found = step
+        ends = g.read().join(at.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(at.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+        merged = Stored(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")), "community-edges")
+        own = nodes.read().join(at, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+        loops = merged.read().where(F.col("a") == F.col("b")).select(F.col("a").alias("id"), "weight")
+        smaller = Stored(own.join(loops, "id", "left").select("id", "k", (F.col("inner") + F.coalesce("weight", F.lit(0.0))).alias("inner")), "community-nodes")
+        between = Stored(merged.read().where(F.col("a") != F.col("b")), "community-edges")
+        for t in (g, nodes, merged, labels):
+            t.drop()
+        g, nodes = between, smaller
+
+
+def _local_moving(g: DataFrame, nodes: DataFrame, m2: float) -> tuple[Stored, float]:
+    """Labels (id, label) of the nodes (id, k, inner) of a graph (a, b, weight, both ways), and their modularity."""
+    hot = Stored(hot_keys(g, "b"), "hubs")
+
+    def quality(lab: DataFrame) -> float:
+        inside = lookup(g, lab.select(F.col("id").alias("b"), F.col("label").alias("y")), "b", "inner", hot.read()).join(lab.select(F.col("id").alias("a"), F.col("label").alias("x")), "a")
+        w = inside.where(F.col("x") == F.col("y")).agg(F.sum("weight")).first()[0] or 0.0
+        per = nodes.join(lab, "id").groupBy("label").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+        row = per.agg(F.sum("inner").alias("inner"), F.sum(F.pow(F.col("k") / m2, 2)).alias("square")).first()
+        return round((w + row["inner"]) / m2 - row["square"], 9)
+
+    now = Stored(nodes.select("id", F.col("id").alias("label")), "labels")
+    best, top = now, quality(now.read())
+    idle = r = 0
+    while idle < 2:
         lab = now.read()
-        votes = g.read().join(lab.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("next"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        moved = lab.join(best, "id").select("id", F.when(turn, F.col("next")).otherwise(F.col("label")).alias("label"), (turn & (F.col("next") != F.col("label"))).alias("moved"))
-        step = Stored(moved, "labels")
-        state = step.read().agg(F.count_if("moved").alias("n"), F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")).alias("h")).first()
-        now.drop()
+        total = nodes.join(lab, "id").groupBy("label").agg(F.sum("k").alias("total"))
+        votes = lookup(g, lab.select(F.col("id").alias("b"), "label"), "b", "inner", hot.read()).select(F.col("a").alias("id"), "label", "weight")
+        weights = votes.unionByName(lab.select("id", "label", F.lit(0.0).alias("weight"))).groupBy("id", "label").agg(F.sum("weight").alias("w"))
+        own = nodes.select("id", "k").join(lab.withColumnRenamed("label", "mine"), "id")
+        x = weights.join(total, "label").join(own, "id").withColumn("stays", F.col("label") == F.col("mine"))
+        gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("stays"), F.col("k")).otherwise(0.0)) / m2, 9)
+        pick = x.withColumn("gain", gain).groupBy("id", "mine").agg(
+            F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("next"), F.max("gain").alias("most"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("stay")
+        )
+        moves = (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) & (F.col("most") > F.col("stay"))
+        step = Stored(pick.select("id", F.when(moves, F.col("next")).otherwise(F.col("mine")).alias("label")), "labels")
+        q = quality(step.read())
+        if now is not best:
+            now.drop()
+        if q > top + 1e-7:
+            best.drop()
+            best, top, idle = step, q, 0
+        else:
+            idle += 1
         now = step
-        still = still + 1 if not state["n"] else 0
-        if still == 2 or (r % 2, state["h"]) in seen and state["n"]:
-            return now.read().select("id", "label")
-        seen.add((r % 2, state["h"]))
         r += 1
+    if now is not best:
+        now.drop()
+    hot.drop()
+    return best, top
 
 
 def modularity(weighted: DataFrame, labels: DataFrame) -> DataFrame:

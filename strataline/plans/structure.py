@@ -31,9 +31,14 @@ def file_graph(t: Tables, with_co_change: bool = False, include_tests: bool = Fa
     return w
 
 
+def communities(t: Tables) -> DataFrame:
+    """(id, label): communities of the file graph, computed once per state of the tables."""
+    return t._view("communities", ("edges", "symbols", "files"), lambda: graph.communities(file_graph(t)))
+
+
 def subsystems(t: Tables) -> DataFrame:
     """(file_id, label): communities of two files and more of the file graph."""
-    lab = graph.communities(file_graph(t))
+    lab = communities(t)
     big = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2).select("label")
     return lab.join(big, "label", "left_semi").select(F.col("id").alias("file_id"), "label")
 
@@ -205,7 +210,7 @@ QUERIES = {
     "graph_files_co_change": _q(file_graph, with_co_change=True),
     "structure_subsystems": _q(subsystems),
     "structure_subsystem_summary": _q(subsystem_summary),
-    "structure_modularity": lambda s, d: graph.modularity(file_graph(t := Tables(s, d)), graph.communities(file_graph(t))),
+    "structure_modularity": lambda s, d: graph.modularity(file_graph(t := Tables(s, d)), communities(t)),
     "structure_stored_subsystems": _q(stored_subsystems),
     "structure_cross_subsystem": _q(cross_subsystem),
     "structure_conductance": _q(stored_conductance),

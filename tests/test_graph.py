@@ -32,6 +32,20 @@ def test_communities_modularity_conductance(spark):
     assert {r["conductance"] for r in g.conductance(w, lab).collect()} == {round(1 / 31, 6)}
 
 
+def test_louvain_finds_a_ring_of_cliques(spark):
+    """Six cliques of five on a ring: each is a community; modularity by the formula."""
+    e = [(5 * c + i, 5 * c + j, 1.0) for c in range(6) for i in range(5) for j in range(i + 1, 5)] + [(5 * c + 4, (5 * c + 5) % 30, 1.0) for c in range(6)]
+    w = spark.createDataFrame(e, "a long, b long, weight double")
+    lab = g.communities(w)
+    groups = {}
+    for r in lab.collect():
+        groups.setdefault(r["label"], set()).add(r["id"])
+    assert sorted(map(sorted, groups.values())) == [list(range(5 * c, 5 * c + 5)) for c in range(6)]
+    assert g.modularity(w, lab).first()[0] == round(60 / 66 - 1 / 6, 6)
+    assert sorted(map(tuple, g.communities(w.repartition(7)).collect())) == sorted(map(tuple, lab.collect()))
+    assert g.communities(w.limit(0)).collect() == []
+
+
 def test_relational(spark):
     paths = spark.createDataFrame([("a/b/c.py",), ("a/x.py",), ("z.py",)], "path string")
     pre = spark.createDataFrame([("a", "A"), ("a/b/", "AB")], "dir string, label string")
