@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ def watch(spark: SparkSession, root: str, index: Callable[[DataFrame, int], None
     ``index(files, batch)`` gets (path, language, is_test, content_hash, content) of each
     batch, the newest state of every path, and must be idempotent by batch number. Batches
     run one after the other; changes during a batch are in the next one, none is lost.
-    Deletions do not appear in a file stream: compare with ``discovery.changes`` for them.
+    Deletions do not appear in a file stream: ``follow`` sees them.
     """
     ship(spark)
     names = F.create_map(*[F.lit(v) for kv in LANGUAGES.items() for v in kv])
@@ -33,5 +34,43 @@ def watch(spark: SparkSession, root: str, index: Callable[[DataFrame, int], None
         newest = df.groupBy("path").agg(F.max_by(F.struct("language", "is_test", "content_hash", "content"), "modificationTime").alias("r")).select("path", "r.*")
         index(newest, number)
 
-    out = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/watch")
+    out = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or _checkpoint(spark, "watch", root))
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=interval)).start()
+
+
+def _checkpoint(spark: SparkSession, use: str, root: str) -> str:
+    """A folder of its own for each watched directory."""
+    return f"{shared_dir(spark)}/{use}-{hashlib.md5(root.encode()).hexdigest()}"
+
+
+def listing(spark: SparkSession, root: str) -> str:
+    """Hash of names, sizes and times of all files under ``root``; no content is read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    row = x.agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("h")).first()
+    return f"{row['n']}:{row['h']}"
+
+
+def follow(spark: SparkSession, root: str, out: str, now_ms: Callable[[], int], interval: str = "2 seconds", done: Callable[[DataFrame], None] | None = None, **kw) -> StreamingQuery:
+    """Keep the index ``out`` of the directory ``root`` up to date, deletions and renames included.
+
+    A clock stream gives the beat. On each beat the directory is listed; if anything differs
+    from the last time, ``index.update`` runs and ``done`` gets its (path, change, old_path).
+    Beats do not overlap and an update compares contents, so a beat that is run again, or
+    a restart, does no harm. The index must have been built before.
+    """
+    from strataline.sources import index
+
+    ship(spark)
+    last: list[str] = []
+
+    def beat(_: DataFrame, number: int) -> None:
+        state = listing(spark, root)
+        if last != [state]:
+            changed = index.update(spark, root, out, now_ms(), **kw)
+            last[:] = [state]
+            if done:
+                done(changed)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(beat).option("checkpointLocation", _checkpoint(spark, "follow", root + out)).trigger(processingTime=interval).start()

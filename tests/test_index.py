@@ -102,3 +102,24 @@ def test_scopes_and_bindings():
     rows = references.uses("p/a.ts", "typescript", "import d, { x, y as z } from '@/lib';\nconst { q } = require('../w.js');\nimport { e } from 'external';\n", {"@/": "p/src/"})
     assert {(r[3], r[4], r[8]) for r in rows if r[0] == "bind"} == {("d", "default", "p/src/lib"), ("x", "x", "p/src/lib"), ("z", "y", "p/src/lib"), ("q", "q", "w")}
     assert references.uses("a.x", "cobol", "x") == [] and references.uses("a.py", "python", "def (") == [] and references.uses("a.go", "go", "") == []
+
+
+def test_follow_sees_deletions(spark, tmp_path):
+    import time
+
+    from strataline.streaming import watch
+
+    write(f"{tmp_path}/src", {"p/a.py": "def a():\n    pass\n", "p/b.py": "def b():\n    pass\n"})
+    root, out, seen = f"{tmp_path}/src", f"{tmp_path}/out", []
+    index.build(spark, root, out, 1)
+    os.remove(f"{root}/p/b.py")
+    write(root, {"p/c.py": "from .a import a\n\n\ndef c():\n    a()\n"})
+    q = watch.follow(spark, root, out, lambda: 2, "1 second", lambda d: seen.extend((r["path"], r["change"]) for r in d.collect()))
+    for _ in range(240):
+        if seen or not q.isActive:
+            break
+        time.sleep(0.25)
+    q.stop()
+    assert sorted(seen) == [("p/b.py", "deleted"), ("p/c.py", "added")]
+    assert named(spark, out) == {("p/c.py::c", "p/a.py::a", "calls")}
+    assert watch.listing(spark, root) == watch.listing(spark, root)
