@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataline.plans import data_queries, git, risk, search, structure, surfaces, symbols
+from strataline.plans import data_queries, extraction, git, risk, search, structure, surfaces, symbols
 
-MODULES = (data_queries, git, risk, symbols, structure, search, surfaces)
+MODULES = (data_queries, git, risk, symbols, structure, search, surfaces, extraction)
 FLAGSHIP = "risk_hotspots_top"
 
 

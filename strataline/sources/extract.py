@@ -195,7 +195,8 @@ def braced(language: str) -> Callable[[str, str], Found]:
                 stack.append((end, q, kind))
         number = line_numbers(text)
         for m in _IMPORT[language].finditer(text):
-            out.imports.append((path, next(g for g in m.groups() if g), number(m.start())))
+            k = m.lastindex  # the pattern may start on a blank line before
+            out.imports.append((path, m[k], number(m.start(k))))
         return out
 
     return run

@@ -160,7 +160,7 @@ def _list(names: str) -> Iterator[tuple[str, str]]:
 
 def _bindings(out: Uses, family: str, text: str, aliases: dict[str, str]) -> None:
     number = line_numbers(text)
-    line = lambda m: number(m.start())
+    line = lambda m: number(m.start(m.lastindex or 0))
     path = out.path
     if family == "script":
         for m in _NAMED.finditer(text):
