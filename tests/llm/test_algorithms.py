@@ -207,7 +207,7 @@ def test_recall_in_one_dense_cluster(spark):
 
 
 def test_recall_of_unrelated_vectors(spark):
-    x = np.random.default_rng(1).standard_normal((4000, 64)).astype(np.float32)
+    x = np.random.default_rng(1).standard_normal((2500, 64)).astype(np.float32)
     assert recall(spark, x, -1.0) >= 0.9
     assert recall(spark, x[:1000], -1.0, exact=True) == 1.0
 
