@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +86,15 @@ def stored_conductance(t: Tables) -> DataFrame:
 
 
 def topology_hash(t: Tables) -> DataFrame:
-    """(hash) of the file graph: equal graphs have equal hashes. Summed, so no row order matters."""
+    """(pairs, hash) of the file graph: equal graphs have equal hashes. Summed, so no row order matters.
+
+    The sum of the pairs' 48-bit hashes is exact and then taken modulo 2**64 as a signed long: up to 2**63 - 1
+    (every graph of up to 32,768 pairs) it is the plain sum, beyond it wraps, where the SQL fails by its cast to BIGINT.
+    """
     g = file_graph(t).withColumn("h", F.conv(F.substring(F.sha2(F.concat_ws(":", "a", "b", F.col("weight").cast("long")), 256), 1, 12), 16, 10).cast("long"))
-    return g.agg(F.count(F.lit(1)).alias("pairs"), F.sum("h").alias("hash"))
+    word = F.lit(Decimal(2**64))
+    low = F.sum(F.col("h").cast("decimal(20,0)")) % word
+    return g.agg(F.count(F.lit(1)).alias("pairs"), low.alias("low")).select("pairs", F.when(F.col("low") < Decimal(2**63), F.col("low")).otherwise(F.col("low") - word).cast("long").alias("hash"))
 
 
 def modules(t: Tables) -> DataFrame:

@@ -1,5 +1,6 @@
 """Compound answers, searches, encoders and projects on a small index and on the smallest test tables."""
 
+import hashlib
 import os
 import subprocess
 
@@ -142,3 +143,14 @@ def test_diff_of_a_work_tree(spark, tmp_path):
 def test_command_line(spark, shop, capsys):
     assert cli.main([shop.dir, "search", "load", "--json"]) == 0
     assert '"name":"load"' in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("pairs", [0, 3, 50_000, 80_000, 140_000])
+def test_topology_hash_of_any_size(spark, monkeypatch, pairs):
+    """The plain sum while it fits a long; larger sums wrap instead of failing."""
+    g = spark.range(pairs).selectExpr("id AS a", "id + 1 AS b", "CAST(id % 3 + 1 AS DOUBLE) AS weight")
+    monkeypatch.setattr(structure, "file_graph", lambda t: g)
+    total = sum(int(hashlib.sha256(f"{i}:{i + 1}:{i % 3 + 1}".encode()).hexdigest()[:12], 16) for i in range(pairs))
+    got = structure.topology_hash(None)
+    assert got.dtypes == [("pairs", "bigint"), ("hash", "bigint")]
+    assert tuple(got.first()) == (pairs, (total + 2**63) % 2**64 - 2**63 if pairs else None)
