@@ -89,6 +89,41 @@ def test_origins(spark):
     assert provenance.not_by_hand(f.limit(0), d).collect() == [] and {r["path"] for r in provenance.not_by_hand(f, d.limit(0)).collect()} >= {"p/vendor/x/a.js"}
 
 
+def test_passages_are_cut_alike_wherever_they_stand():
+    rng = np.random.default_rng(0)
+    token = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    body, tile = token(2_000), np.tile(token(7), 60)
+    texts = [body, np.r_[token(133), body, token(55)], token(23), token(0), token(24), tile, np.r_[body, tile], token(49)]
+    end = np.cumsum([len(t) for t in texts])
+    start = end - [len(t) for t in texts]
+    start[7] += 20  # its leading comment
+    doc, hashes, size = provenance.passages(np.concatenate(texts), start, end)
+    assert size.min() >= provenance.LONG_RULE and np.bincount(doc, weights=size, minlength=8).tolist() == [2000, 2188, 0, 0, 24, 420, 2420, 29]
+    of = lambda t: dict(zip(hashes[doc == t].tolist(), size[doc == t].tolist()))
+    for t in (1, 6):
+        both = of(0).keys() & of(t).keys()
+        assert sum(of(0)[h] for h in both) > 1_700 and len(of(0)) > 20
+    assert not of(0).keys() & of(4).keys()
+
+
+def test_copies_in_several_repositories_are_vendored(spark):
+    """Code that three repositories have is found though nothing repeats within it; a common licence is no copy."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=8))
+    code = lambda n: "".join(f"{word()} = {word()}({word()}, {word()}).{word()}\n" for _ in range(n))
+    three, two, licence = code(40), code(40), "".join(f"# {word()} {word()} {word()} {word()} {word()}\n" for _ in range(60))
+    texts = {f"{p}/src/pad.py": f"# of {p}\n{code(i)}{three}" for i, p in enumerate(("a", "b", "c"))}
+    texts |= {f"{p}/src/two.py": two for p in "ab"} | {f"{p}/src/own.py": licence + code(10) for p in "abcd"} | {"a/tests/pad.py": three, "a/src/again.py": two}
+    texts |= {f"{p}/src/part.py": three[: len(three) // 3] + code(40) for p in "abc"}
+    files = [(i, p, 500) for i, p in enumerate(texts)]
+    f = spark.createDataFrame(files + files[:1], "id long, path string, size_bytes long")
+    rows = [(i, texts[p]) for i, p, _ in files]
+    d = spark.createDataFrame(rows + [x for x in rows if "part" in files[x[0]][1]], "file_id long, text string")  # some texts twice
+    got = {x["path"]: (x["kind"], x["shared"]) for x in provenance.origins(f, d).collect()}
+    assert {p for p, (k, _) in got.items() if k} == {"a/src/pad.py", "b/src/pad.py", "c/src/pad.py"} and got["b/src/pad.py"][0] == "vendored"
+    assert got["a/tests/pad.py"][1] > 0.9 and 0 < got["a/src/part.py"][1] < 0.5 and got["a/src/two.py"][1] == 0 and got["a/src/own.py"][1] == 0
+
+
 # ---------------------------------------------------------------- 4: names
 
 
